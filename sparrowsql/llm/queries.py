@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowsql.llm import bitpack, bpe, exact_dedup
+from sparrowsql.llm import bitpack, bpe, decontam, exact_dedup, secret_scan
 from sparrowsql.llm.common import table
 
 
@@ -24,6 +24,14 @@ FROM documents
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,7 +43,9 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_decontamination": op3_decontamination,
         "op5_bpe": op5_bpe,
+        "op6_secret_scan": op6_secret_scan,
         "op10_bit_packing": op10_bit_packing,
     }
 
