@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -46,8 +47,8 @@ HEAD = struct.Struct("<4sB3xIIQQ")
 MAGIC = b"BPK1"
 BLOCK_IDS = 1024
 SHARD_IDS = 1 << 20
-#: Entries in a process's table of encoded chunks before it starts anew, and their longest key.
-TABLE_SIZE, KEY_SIZE = 1_000_000, 64
+#: Entries in a process's table of encoded pieces before it starts anew, and their longest key.
+TABLE_SIZE, KEY_SIZE = 500_000, 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -141,37 +142,74 @@ class Shard:
 
 
 class ChunkEncoder:
-    """A library tokenizer whose pieces never cross white space, behind a table of chunks between white space."""
+    """A library tokenizer whose pieces never cross white space, behind a table of pieces.
+
+    Texts of characters below U+0300 only are lower-cased and cut into the
+    scheme's own pieces here (they are in normal form already, and each lower
+    case is one character); other texts are cut at white space, and the library
+    does the rest. Pieces not seen yet go to the library joined by spaces; the
+    word-end mark tells where each piece's ids end.
+    """
 
     def __init__(self, spec: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_truncation()
         self.lib.no_padding()
+        size = self.lib.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.many = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         self.chunk = re.compile("[^ \t\n\r]+")
+        low = [chr(c) for c in range(0x300)]
+        letters = "".join(c for c in low if c.isalpha())
+        numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
+        space = "\t\n\x0b\x0c\r \x85\xa0"  # Unicode's White_Space below U+0300
+        self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+        self.odd = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
         self.table: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode the library's own single pieces, joined by spaces."""
+        for a in range(0, len(pieces), 5_000):
+            part = pieces[a : a + 5_000]
+            ids = np.array(self.many([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a piece was cut by the tokenizer")
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.table[piece] = raw[at:end]
+                at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunk.findall(t) for t in texts]
         if len(self.table) >= TABLE_SIZE:
             self.table.clear()
-        table = self.table
-        new = list({c for chunks in cut for c in chunks if c not in table})
-        many = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            table.update(
-                (c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, many(part, add_special_tokens=False), strict=True)
-            )
-        made = [b"".join([table[c] for c in chunks]) for chunks in cut]
+        table, made = self.table, []
+        plain = [not self.odd.search(t) for t in texts]
+        cut = [self.piece.findall(t.lower()) if p else self.chunk.findall(t) for t, p in zip(texts, plain, strict=True)]
+        new = {c for chunks, p in zip(cut, plain, strict=True) if p for c in chunks if c not in table}
+        self._learn(list(new))
+        for chunks, p in zip(cut, plain, strict=True):
+            if p:
+                made.append(b"".join([table[c] for c in chunks]))
+            else:
+                made.append(b"".join([table.get(c) or self._whole(c) for c in chunks]))
         for c in new:
             if len(c) > KEY_SIZE:
                 del table[c]
         return made
 
+    def _whole(self, chunk: str) -> bytes:
+        found = np.array(self.many([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if len(chunk) <= KEY_SIZE:
+            self.table[chunk] = found
+        return found
+
 
 @lru_cache(maxsize=2)
 def encoder(spec: str) -> ChunkEncoder:
