@@ -78,3 +78,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+#: An odd base for polynomial hashes modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_UNDO = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i for i < n, kept for the next call."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, _UNDO)):
+            up = np.full(n, base, np.uint64)
+            up[0] = 1
+            _powers[k] = np.multiply.accumulate(up)
+    up, down = _powers[0][:n], _powers[1][:n]
+    if n > 4 * CHUNK_BYTES:  # don't hold on to what one very long text needed
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    return up, down
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes data[start:end]."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+#: Bytes of words: digits, ASCII letters (upper case as lower), and all of characters from U+0080 on.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+IN_WORD = np.zeros(256, bool)
+IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts laid end to end: their starts, ends, hashes, and the first word of each text (and the end)."""
+    folded = FOLD[data]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = IN_WORD[folded]
+    change = inside[1:] != inside[:-1]
+    cuts = np.zeros(len(data) + 1, bool)
+    cuts[offsets] = True  # words never cross texts
+    first = inside[1:] & (change | cuts)
+    last = inside[:-1] & (change | cuts)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    return starts, ends, run_hashes(folded, starts, ends), np.searchsorted(starts, offsets)
