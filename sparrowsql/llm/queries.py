@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowsql.llm import bitpack, bpe, chat, decontam, exact_dedup, html_text, quality, secret_scan
+from sparrowsql.llm import bitpack, bpe, chat, decontam, exact_dedup, html_text, jaccard, quality, secret_scan
 from sparrowsql.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op8_html_extraction": op8_html_extraction,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_bit_packing": op10_bit_packing,
     }
 
