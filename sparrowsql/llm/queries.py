@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowsql.llm import bitpack, bpe, chat, decontam, exact_dedup, html_text, jaccard, quality, secret_scan
+from sparrowsql.llm import bitpack, bpe, chat, decontam, exact_dedup, html_text, jaccard, quality, secret_scan, suffix_dedup
 from sparrowsql.llm.common import table
 
 
@@ -67,6 +68,10 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -77,12 +82,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_decontamination": op3_decontamination,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_bpe": op5_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_bit_packing": op10_bit_packing,
