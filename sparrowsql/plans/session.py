@@ -7,6 +7,7 @@ everything else changes the catalog or makes new table versions.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ _session = itertools.count()
 
 
 class Session:
-    def __init__(self, spark: SparkSession, warehouse: str, tables: dict[str, DataFrame] | None = None):
-        """tables: frames that queries may read by name besides the stored tables."""
+    def __init__(self, spark: SparkSession, warehouse: str, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None):
+        """tables: frames that queries may read by name besides the stored tables, or what makes them when first read."""
         self.spark, self.store, self.db = spark, Store(spark, warehouse), DEFAULT_DB
         self.variables: dict[str, object] = {}
         self.prepared: dict[str, str] = {}
@@ -101,6 +102,8 @@ class Session:
         if key:
             return self._view(f"{db}_{key.lower()}", self.store.frame(db, key))
         if low in self.frames:
+            found = self.frames[low]
+            self.frames[low] = found if isinstance(found, DataFrame) else found()
             return self._view(low, self.frames[low])
         return name
 

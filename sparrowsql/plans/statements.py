@@ -1,6 +1,141 @@
-def queries():
-    return {}
+"""Queries that run statements over a driver table in a warehouse of their own, and read the result.
 
+Each loads rows of the driver's tables into stored tables by INSERT ... SELECT,
+changes them, and returns what is there afterwards; the twin says the same as a
+plain SELECT.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sparrowsql.plans import admin
+from sparrowsql.plans.session import Session
+from sparrowsql.sources.tables import TABLES
+
+
+def warehouse(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a local one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared}/warehouse-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="sparrow-warehouse-")
+
+
+def open_session(spark: SparkSession, sf_dir: str) -> Session:
+    return Session(spark, warehouse(spark), {t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
+
+
+CUSTOMERS = "CREATE TABLE cust (id BIGINT PRIMARY KEY, name VARCHAR(50) NOT NULL, seg VARCHAR(20), bal DOUBLE DEFAULT 0.0)"
+FILL = "INSERT INTO cust SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer"
+ORDERS = "CREATE TABLE ord (id BIGINT PRIMARY KEY, cust BIGINT, total DOUBLE, CONSTRAINT fk_c FOREIGN KEY (cust) REFERENCES cust(id) ON DELETE {delete} ON UPDATE CASCADE)"
+FILL_ORDERS = "INSERT INTO ord SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey < 300"
+BASE = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS seg, c_acctbal AS bal FROM customer"
+
+# name: (statements, the last one a query; DuckDB twin)
+SCRIPTS: dict[str, tuple[list[str], str]] = {
+    "dml_insert_select": ([CUSTOMERS, FILL, "SELECT * FROM cust WHERE bal > 0"], f"SELECT * FROM ({BASE}) WHERE bal > 0"),
+    "dml_insert_values_default": (
+        ["CREATE TABLE t (id INT AUTO INCREMENT PRIMARY KEY, a VARCHAR(10) DEFAULT 'x', b DECIMAL(8,2) CHECK (b >= 0))", "INSERT INTO t (b) VALUES (1.5), (2), (NULL)", "INSERT INTO t (id, a) VALUES (10, 'y')", "INSERT INTO t (a) VALUES (DEFAULT)", "SELECT id, a, CAST(b AS DOUBLE) AS b FROM t"],
+        "SELECT * FROM (VALUES (1, 'x', 1.5::DOUBLE), (2, 'x', 2.0), (3, 'x', NULL), (10, 'y', NULL), (11, 'x', NULL)) v(id, a, b)",
+    ),
+    "dml_insert_ignore": ([CUSTOMERS, FILL, "INSERT IGNORE INTO cust SELECT c_custkey + 1000, 'again', 'S', 1.0 FROM customer", "SELECT seg, count(*) AS n FROM cust GROUP BY seg"],
+                          f"SELECT seg, count(*) AS n FROM (SELECT seg FROM ({BASE}) UNION ALL SELECT 'S' FROM customer WHERE c_custkey + 1000 NOT IN (SELECT c_custkey FROM customer)) GROUP BY seg"),
+    "dml_upsert": ([CUSTOMERS, FILL, "INSERT INTO cust VALUES (5, 'n', 's', 1.0), (900001, 'new', 's', 2.0) ON DUPLICATE KEY UPDATE bal = bal + 100, seg = 'UP'", "SELECT * FROM cust WHERE id < 10 OR id > 900000"],
+                   f"SELECT id, name, CASE WHEN id = 5 THEN 'UP' ELSE seg END AS seg, CASE WHEN id = 5 THEN bal + 100 ELSE bal END AS bal FROM ({BASE}) WHERE id < 10 UNION ALL SELECT 900001, 'new', 's', 2.0"),
+    "dml_returning": ([CUSTOMERS, FILL, "DELETE FROM cust WHERE bal < 0 RETURNING id, name"], f"SELECT id, name FROM ({BASE}) WHERE bal < 0"),
+    "dml_update": ([CUSTOMERS, FILL, "UPDATE cust SET bal = bal * 2, seg = CONCAT(seg, '!') WHERE bal > 5000 AND seg != 'BUILDING'", "SELECT * FROM cust"],
+                   f"SELECT id, name, CASE WHEN bal > 5000 AND seg != 'BUILDING' THEN seg || '!' ELSE seg END AS seg, CASE WHEN bal > 5000 AND seg != 'BUILDING' THEN bal * 2 ELSE bal END AS bal FROM ({BASE})"),
+    "dml_update_subquery": ([CUSTOMERS, FILL, "UPDATE cust SET seg = 'RICH' WHERE bal > (SELECT AVG(bal) FROM cust)", "SELECT id, seg FROM cust"],
+                            f"SELECT id, CASE WHEN bal > (SELECT avg(bal) FROM ({BASE})) THEN 'RICH' ELSE seg END AS seg FROM ({BASE})"),
+    "dml_update_join": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), FILL, FILL_ORDERS, "UPDATE ord o JOIN cust c ON o.cust = c.id SET o.total = o.total + 1, c.bal = 0 WHERE c.seg = 'BUILDING'", "SELECT o.id, o.total, c.bal FROM ord o JOIN cust c ON o.cust = c.id"],
+                        "SELECT o_orderkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN o_totalprice + 1 ELSE o_totalprice END AS total, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END AS bal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey < 300"),
+    "dml_delete": ([CUSTOMERS, FILL, "DELETE FROM cust WHERE seg = 'BUILDING' OR bal < 0", "SELECT * FROM cust"], f"SELECT * FROM ({BASE}) WHERE NOT (seg = 'BUILDING' OR bal < 0)"),
+    "dml_delete_subquery": ([CUSTOMERS, FILL, "DELETE FROM cust WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "SELECT id FROM cust"],
+                            "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
+    "dml_delete_join": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), FILL, FILL_ORDERS, "DELETE o FROM ord o JOIN cust c ON o.cust = c.id WHERE c.bal < 1000", "SELECT id, cust FROM ord"],
+                        "SELECT o_orderkey AS id, o_custkey AS cust FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey < 300 AND NOT c_acctbal < 1000"),
+    "dml_fk_cascade": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), FILL, FILL_ORDERS, "DELETE FROM cust WHERE id < 50", "SELECT count(*) AS n, min(cust) AS low FROM ord"],
+                       "SELECT count(*) AS n, min(o_custkey) AS low FROM orders WHERE o_custkey < 300 AND o_custkey >= 50"),
+    "dml_fk_set_null": ([CUSTOMERS, ORDERS.format(delete="SET NULL"), FILL, FILL_ORDERS, "DELETE FROM cust WHERE id < 50", "SELECT id, cust FROM ord"],
+                        "SELECT o_orderkey AS id, CASE WHEN o_custkey >= 50 THEN o_custkey END AS cust FROM orders WHERE o_custkey < 300"),
+    "dml_fk_update_cascade": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), FILL, FILL_ORDERS, "UPDATE cust SET id = id + 1000000 WHERE seg = 'BUILDING'", "SELECT o.id, o.cust FROM ord o JOIN cust c ON o.cust = c.id"],
+                              "SELECT o_orderkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN o_custkey + 1000000 ELSE o_custkey END AS cust FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey < 300"),
+    "dml_merge": ([CUSTOMERS, FILL, "CREATE TABLE upd (id BIGINT PRIMARY KEY, bal DOUBLE)", "INSERT INTO upd SELECT c_custkey * 3, CASE WHEN c_custkey < 20 THEN 0.0 ELSE c_acctbal END FROM customer",
+                   "MERGE INTO cust USING upd ON cust.id = upd.id WHEN MATCHED AND upd.bal = 0.0 THEN DELETE WHEN MATCHED THEN UPDATE SET bal = upd.bal WHEN NOT MATCHED THEN INSERT (id, name, bal) VALUES (upd.id, 'new', upd.bal)", "SELECT id, name, bal FROM cust"],
+                  "WITH u AS (SELECT c_custkey * 3 AS id, CASE WHEN c_custkey < 20 THEN 0.0 ELSE c_acctbal END AS bal FROM customer) SELECT c_custkey AS id, c_name AS name, coalesce(u.bal, c_acctbal) AS bal FROM customer LEFT JOIN u ON u.id = c_custkey WHERE u.bal IS NULL OR u.bal != 0 UNION ALL SELECT id, 'new', bal FROM u WHERE id NOT IN (SELECT c_custkey FROM customer)"),
+    "dml_truncate": ([CUSTOMERS, FILL, "TRUNCATE TABLE cust", "SELECT count(*) AS n FROM cust"], "SELECT 0 AS n"),
+    "ddl_alter": ([CUSTOMERS, FILL, "ALTER TABLE cust ADD COLUMN note VARCHAR(20) DEFAULT 'none'", "ALTER TABLE cust RENAME COLUMN seg TO segment", "ALTER TABLE cust DROP COLUMN bal", "UPDATE cust SET note = 'low' WHERE id < 10", "ALTER TABLE cust RENAME TO clients", "SELECT * FROM clients"],
+                  "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey < 10 THEN 'low' ELSE 'none' END AS note FROM customer"),
+    "view_scan": ([CUSTOMERS, FILL, "CREATE VIEW rich AS SELECT id, name, bal FROM cust WHERE bal > 5000", "SELECT count(*) AS n, max(id) AS top FROM rich"], f"SELECT count(*) AS n, max(id) AS top FROM ({BASE}) WHERE bal > 5000"),
+    "view_update": ([CUSTOMERS, FILL, "CREATE VIEW rich AS SELECT id, name, bal FROM cust WHERE bal > 5000", "UPDATE rich SET bal = 1 WHERE id < 100", "SELECT id, bal FROM cust"],
+                    f"SELECT id, CASE WHEN bal > 5000 AND id < 100 THEN 1 ELSE bal END AS bal FROM ({BASE})"),
+    "synonym_scan": ([CUSTOMERS, FILL, "CREATE SYNONYM people FOR cust", "SELECT id, name FROM people WHERE id < 5"], f"SELECT id, name FROM ({BASE}) WHERE id < 5"),
+    "txn_rollback": ([CUSTOMERS, FILL, "BEGIN", "DELETE FROM cust", "ROLLBACK", "SELECT count(*) AS n FROM cust"], "SELECT count(*) AS n FROM customer"),
+    "txn_savepoint": ([CUSTOMERS, FILL, "BEGIN", "DELETE FROM cust WHERE id > 100", "SAVEPOINT s1", "UPDATE cust SET bal = 0", "ROLLBACK TO SAVEPOINT s1", "UPDATE cust SET seg = 'T' WHERE id = 1", "COMMIT", "SELECT * FROM cust"],
+                      f"SELECT id, name, CASE WHEN id = 1 THEN 'T' ELSE seg END AS seg, bal FROM ({BASE}) WHERE id <= 100"),
+    "udf_scalar": ([CUSTOMERS, FILL, "CREATE FUNCTION taxed(amount, rate) RETURNS DOUBLE RETURN amount * (1 + rate)", "SELECT id, ROUND(taxed(bal, 0.5), 4) AS t FROM cust"], f"SELECT id, ROUND(bal * 1.5, 4) AS t FROM ({BASE})"),
+    "proc_loop": (["CREATE PROCEDURE odd_sum(IN n INT) BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; calc: LOOP SET i = i + 1; IF i > n THEN LEAVE calc; END IF; IF MOD(i, 2) = 0 THEN ITERATE calc; END IF; SET total = total + i; END LOOP; SELECT total AS odd_sum; END", "CALL odd_sum(10)"], "SELECT 25 AS odd_sum"),
+    "proc_while_repeat": (["CREATE PROCEDURE f(IN n INT) BEGIN DECLARE i INT DEFAULT 1; DECLARE t INT DEFAULT 1; WHILE i <= n DO SET t = t * i; SET i = i + 1; END WHILE; REPEAT SET t = t - 100; UNTIL t < 0 END REPEAT; IF t < -90 THEN SELECT 'far' AS r, t AS v; ELSEIF t < 0 THEN SELECT 'near' AS r, t AS v; ELSE SELECT 'no' AS r, t AS v; END IF; END", "CALL f(6)"],
+                          "SELECT 'near' AS r, -80 AS v"),
+    "trigger_after": ([CUSTOMERS, "CREATE TABLE log (n INT)", "INSERT INTO log VALUES (0)", "CREATE TRIGGER tr AFTER INSERT ON cust FOR EACH ROW UPDATE log SET n = n + 1", FILL, "INSERT INTO cust (id, name) VALUES (900000, 'x')", "SELECT n FROM log"], "SELECT 2 AS n"),
+    "prepared_stmt": ([CUSTOMERS, FILL, "PREPARE q FROM 'SELECT id, bal FROM cust WHERE id BETWEEN ? AND ? AND seg != ?'", "SET @a = 5", "SET @b = 40", "SET @s = 'BUILDING'", "EXECUTE q USING @a, @b, @s"], f"SELECT id, bal FROM ({BASE}) WHERE id BETWEEN 5 AND 40 AND seg != 'BUILDING'"),
+    "session_variable": (["SET @x = 6 * 7", "SELECT @x AS x, @x + 1 AS y"], "SELECT 42 AS x, 43 AS y"),
+    "cte_recursive_union": (["CREATE TABLE edge (a INT, b INT)", "INSERT INTO edge VALUES (1, 2), (2, 3), (3, 1), (3, 4), (5, 6)", "WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT b FROM edge JOIN r ON a = n) SELECT n FROM r"],
+                            "SELECT * FROM (VALUES (1), (2), (3), (4)) v(n)"),
+    "cte_insert": ([CUSTOMERS, "INSERT INTO cust WITH big AS (SELECT * FROM customer WHERE c_acctbal > 9000) SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM big", "SELECT * FROM cust"], f"SELECT * FROM ({BASE}) WHERE bal > 9000"),
+    "info_schema_columns": ([CUSTOMERS, "SELECT column_name, ordinal_position, data_type, is_nullable, column_key FROM information_schema.columns WHERE table_name = 'cust'"],
+                            "SELECT * FROM (VALUES ('id', 1, 'bigint', 'NO', 'PRI'), ('name', 2, 'varchar(50)', 'NO', ''), ('seg', 3, 'varchar(20)', 'YES', ''), ('bal', 4, 'double', 'YES', '')) v(column_name, ordinal_position, data_type, is_nullable, column_key)"),
+    "info_schema_constraints": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), "SELECT table_name, constraint_name, constraint_type FROM information_schema.table_constraints"],
+                                "SELECT * FROM (VALUES ('cust', 'PRIMARY', 'PRIMARY KEY'), ('ord', 'PRIMARY', 'PRIMARY KEY'), ('ord', 'fk_c', 'FOREIGN KEY')) v(table_name, constraint_name, constraint_type)"),
+    "show_tables": ([CUSTOMERS, ORDERS.format(delete="CASCADE"), "SHOW TABLES"], "SELECT * FROM (VALUES ('cust'), ('ord')) v(table_name)"),
+    "describe_table": ([CUSTOMERS, "DESCRIBE cust"], """SELECT * FROM (VALUES ('id', 'bigint', 'NO', 'PRI', NULL, ''), ('name', 'varchar(50)', 'NO', '', NULL, ''), ('seg', 'varchar(20)', 'YES', '', NULL, ''), ('bal', 'double', 'YES', '', '0.0', '')) v("Field", "Type", "Null", "Key", "Default", "Extra")"""),
+    "databases_use": (["CREATE DATABASE other", "USE other", "CREATE TABLE t (a INT)", "INSERT INTO t VALUES (1), (2)", "USE main", "SELECT SUM(a) AS s FROM other.t"], "SELECT CAST(3 AS BIGINT) AS s"),
+    "analyze_table": ([CUSTOMERS, FILL, "ANALYZE TABLE cust"],
+                      f"WITH b AS ({BASE}) SELECT 'id' AS column_name, count(DISTINCT id) AS distinct_values, CAST(count(*) - count(id) AS BIGINT) AS nulls FROM b UNION ALL SELECT 'name', count(DISTINCT name), count(*) - count(name) FROM b UNION ALL SELECT 'seg', count(DISTINCT seg), count(*) - count(seg) FROM b UNION ALL SELECT 'bal', count(DISTINCT bal), count(*) - count(bal) FROM b"),
+}
+
+
+def _script(statements: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = open_session(spark, sf_dir)
+        for statement in statements[:-1]:
+            session.sql(statement)
+        return session.sql(statements[-1])
+
+    return run
+
+
+def _analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _script(SCRIPTS["analyze_table"][0])(spark, sf_dir).select("column_name", "distinct_values", "nulls")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export a query as CSV and import it into a table again."""
+    session = open_session(spark, sf_dir)
+    path = f"{session.store.root}/export"
+    admin.export_csv(session, "SELECT c_custkey AS id, CONCAT(c_name, ', \"x\"') AS name, c_mktsegment AS seg, c_acctbal AS bal FROM customer", path)
+    session.sql(CUSTOMERS)
+    admin.import_csv(session, path, "cust")
+    return session.sql("SELECT * FROM cust")
+
+
+def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = open_session(spark, sf_dir)
+    return session.sql("EXPLAIN ANALYZE SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: _script(statements) for name, (statements, _) in SCRIPTS.items()}
+    return found | {"analyze_table": _analyze, "csv_round_trip": csv_round_trip, "explain_analyze": explain_plan}
+
+
+def oracle_sql() -> dict[str, str]:
+    found = {name: twin for name, (_, twin) in SCRIPTS.items()}
+    return found | {"csv_round_trip": "SELECT c_custkey AS id, c_name || ', \"x\"' AS name, c_mktsegment AS seg, c_acctbal AS bal FROM customer"}
