@@ -223,7 +223,7 @@ class Session:
                 if len(row) != len(order) and not (columns is None and len(row) < len(order)):
                     raise SqlError(f"{len(order)} columns but {len(row)} values")
                 lines.append("(" + ", ".join(defaults[order[i].lower()] if v and v[0].up == "DEFAULT" else say(v) for i, v in enumerate(row)) + ")")
-            source = self.spark.sql("SELECT * FROM VALUES " + ", ".join(lines))
+            source = self.spark.sql("SELECT * FROM VALUES " + ", ".join(lines)).coalesce(1)  # as listed: counters follow the order
         else:
             source = self.query(c.until("ON", "RETURNING") if c.peek() != "(" else c.group())
         updates = None
