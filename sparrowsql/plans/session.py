@@ -54,6 +54,10 @@ class Session:
         c = Cursor(tokenize(text))
         if self.store.staged is None:
             self.store.refresh()
+        else:
+            self.store.catch_up()
+        if c.peek() == "WITH":
+            c = self._cte_insert(c)
         word = c.peek()
         method = getattr(self, f"_do_{word.lower()}", None) if word.isalpha() else None
         if method is not None:
@@ -63,6 +67,16 @@ class Session:
             return self.query(c.rest())
         return admin.statement(self, c, text)
 
+    @staticmethod
+    def _cte_insert(c: Cursor) -> Cursor:
+        """WITH ... INSERT INTO t SELECT as INSERT INTO t WITH ... SELECT; anything else as it is."""
+        head = c.until("INSERT", "SELECT")
+        if c.peek() != "INSERT":
+            c.at = 0
+            return c
+        into = c.until("SELECT")
+        return Cursor([*into, *head, *c.rest()])
+
     # --- names
 
     def rewriter(self, resolve: bool = True) -> Rewriter:
@@ -269,19 +283,17 @@ class Session:
         hit = self._identified(db, name, alias or first.split(".")[-1], condition, {f"__s_{k}": v for k, v in short.items()})
         parked = self.store.write(hit, db, name)
         changes = self.spark.read.schema(hit.schema).parquet(f"{self.store.root}/{parked}")
+        kept = None
+        if returning is not None:  # the rows with their new values, before identities change
+            new = {k.lower(): f"__s_{k}" for k in short}
+            rows = dml.with_identity(self.store, db, name).join(changes, [dml.FILE, dml.ROW])
+            made = rows.select(*[F.col(new.get(x["name"].lower(), x["name"])).cast(x["spark"]).alias(x["name"]) for x in self.store.database(db)["tables"][name]["columns"]])
+            parked = self.store.write(made, db, name)
+            kept = self.spark.read.schema(made.schema).parquet(f"{self.store.root}/{parked}")
         count = self._triggered(db, name, "UPDATE", lambda: dml.update_rows(self.store, db, name, changes, list(short)))
         if returning is None:
             return self.done(count)
-        new = self.store.frame(db, name)
-        values = changes.drop(dml.FILE, dml.ROW)
-        on = [new[k].eqNullSafe(values[f"__s_{k}"].cast(new.schema[k].dataType)) for k in short]
-        key = self.store.database(db)["tables"][name]["primary_key"]
-        if key:  # rows are found again by their key
-            old = hit.select(*[F.col(f"__k_{k}") for k in key])
-            new = new.join(old, [new[k].eqNullSafe(old[f"__k_{k}"]) for k in key], "left_semi")
-        else:
-            new = new.join(values, on, "left_semi")
-        return self._returned(new, returning, count)
+        return self._returned(kept, returning, count)
 
     def _condition(self, where: list[Token] | None, view: str | None) -> str | None:
         parts = [self.rewriter().tokens(where)] if where else []
@@ -290,11 +302,10 @@ class Session:
         return " AND ".join(f"({p})" for p in parts) or None
 
     def _identified(self, db: str, name: str, alias: str, condition: str | None, values: dict[str, str]) -> DataFrame:
-        """Identity, key and values of the rows of a table that meet any condition, subqueries too."""
+        """Identity and values of the rows of a table that meet any condition, subqueries too."""
         view = self._view(f"rows_{db}_{name.lower()}", dml.with_identity(self.store, db, name))
-        key = [f"`{alias}`.`{k}` AS __k_{k}" for k in self.store.database(db)["tables"][name]["primary_key"]]
         said = [f"({e}) AS `{n}`" for n, e in values.items()]
-        return self.spark.sql(f"SELECT {', '.join([f'`{alias}`.{dml.FILE}', f'`{alias}`.{dml.ROW}', *key, *said])} FROM {view} AS `{alias}`" + (f" WHERE {condition}" if condition else ""))
+        return self.spark.sql(f"SELECT {', '.join([f'`{alias}`.{dml.FILE}', f'`{alias}`.{dml.ROW}', *said])} FROM {view} AS `{alias}`" + (f" WHERE {condition}" if condition else ""))
 
     def _sources(self, from_: list[Token]) -> tuple[str, dict[str, tuple[str, str]]]:
         """FROM text over identified views, and alias -> table."""

@@ -119,6 +119,26 @@ def test_writers_that_clash(session, spark):
     assert rows(other, "SELECT count(*) AS n FROM proj WHERE dept IS NULL") == [(3,)]
 
 
+def test_read_committed_and_repeatable_read(session, spark):
+    other = Session(spark, session.store.root)
+    for level, change, seen in (
+        ("READ COMMITTED", "DELETE FROM emp WHERE id = 4", 3),
+        ("REPEATABLE READ", "INSERT INTO emp VALUES (50, 'New', 1, NULL, NULL)", 3),
+    ):
+        session.sql(f"SET ISOLATION LEVEL {level}")
+        session.sql("BEGIN")
+        rows(session, "SELECT count(*) AS n FROM emp")
+        other.sql(change)
+        assert rows(session, "SELECT count(*) AS n FROM emp") == [(seen,)]
+        session.sql("COMMIT")
+    assert rows(session, "SELECT count(*) AS n FROM emp") == [(4,)]
+
+
+def test_with_before_insert(session):
+    session.sql("WITH b AS (SELECT id + 10 AS id, name FROM emp WHERE id < 3) INSERT INTO emp (id, name) SELECT id, name FROM b")
+    assert rows(session, "SELECT id, name FROM emp WHERE id > 10") == [(11, "Ann"), (12, "Bob")]
+
+
 def test_serializable_checks_what_was_read(session, spark):
     other = Session(spark, session.store.root)
     session.sql("SET ISOLATION LEVEL SERIALIZABLE")
