@@ -1,0 +1 @@
+"""A relational engine with a MySQL-flavoured dialect on PySpark."""
