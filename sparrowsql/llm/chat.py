@@ -93,25 +93,23 @@ def tree_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     step = materialize(step, "steps")
     tables = [step]
+    ended, going = step.where("up IS NULL"), step.where("up IS NOT NULL")
     for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
-        if step.where("up IS NOT NULL").isEmpty():
+        if going.isEmpty():
             break
-        above = step.select(
+        above = ended.union(going).select(
             F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("sum").alias("s2")
         )
-        joined = step.join(above, link & (F.col("up") == F.col("n")), "left")
+        joined = going.join(above, link & (F.col("up") == F.col("n")))  # only those that haven't reached their root
         step = materialize(
             joined.select(
-                "conv",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum"),
+                "conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("sum") + F.col("s2")).alias("sum")
             ),
             "steps",
         )
         tables.append(step)
-    whole = step.where("up IS NULL")  # others are on or under a circle
+        ended, going = ended.union(step.where("up IS NULL")), step.where("up IS NOT NULL")
+    whole = ended  # others are on or under a circle
     parents = tables[0].where("up IS NOT NULL").select(F.col("conv").alias("c"), F.col("up").alias("n")).distinct()
     leaves = whole.join(parents, link & (F.col("node") == F.col("n")), "left_anti")
     order = Window.partitionBy("conv").orderBy(F.desc("sum"), F.desc("depth"), "node")
