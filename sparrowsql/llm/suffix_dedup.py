@@ -10,9 +10,10 @@ on the input.
    its strings can reach; contexts with equal anchors and equal bytes (64 bits
    of hash each) are copies. Each task folds the copies that it sees, so copies
    in a third of all rows reach the shuffle as a few rows per task.
-2. The occurrences of an anchor meet in one sorted stream, which holds at most
-   HOT rows in memory. Of equal contexts the first stays and the others are
-   removed whole. If an anchor has one context only, that's all.
+2. Occurrences meet in sorted streams, dealt by ranges of (anchor, context), so
+   that a frequent anchor is spread over tasks; a stream holds at most HOT rows
+   in memory. Of equal contexts the first stays and the others are removed
+   whole. If an anchor has one context only, that's all.
 3. Where contexts of one anchor differ (the edges of copied passages), the first
    occurrence of each context is read again from its document, and the contexts
    are put into suffix order. The previous and the next smaller position in that
@@ -50,10 +51,13 @@ FOLD_ROWS, SORTED_CONTEXTS = 500_000, 4_000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
+_BYTE = mix(np.arange(256, dtype=np.uint64) + _SALT)
+
+
 def _prefix(data: np.ndarray) -> np.ndarray:
     up, _ = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + _SALT) * up[:-1], out=total[1:])
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     return total
 
 
@@ -64,18 +68,23 @@ def _hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost least value of each run of width values."""
-    best, place = values.copy(), np.arange(len(values))
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        other, there = best[step:], place[step:]
-        best, place = best[: len(other)], place[: len(other)]
-        worse = other < best
-        best = np.where(worse, other, best)
-        place = np.where(worse, there, place)
-        have += step
-    return place
+    """The place of the leftmost least value of each run of width values.
+
+    The place takes the low 24 bits of a key, so values count by their high 40
+    bits, everywhere alike; longer inputs go in blocks.
+    """
+    low = np.uint64(24)
+    most, out = (1 << 24) - width, []
+    for at in range(0, max(1, len(values) - width + 1), most):
+        part = values[at : at + most + width - 1]
+        best = (part >> low << low) | np.arange(len(part), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            best = np.minimum(best[:-step], best[step:])
+            have += step
+        out.append((best & np.uint64((1 << 24) - 1)).astype(np.int64) + at)
+    return np.concatenate(out)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -87,16 +96,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     if len(data) < length:
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     total = _prefix(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = _hash(total, at, at + GRAM)
+    _, down = powers(len(total))
+    grams = mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
     chosen = window_minima(grams, length - GRAM + 1)  # of each window start
-    sizes = np.diff(offsets)
-    text = np.repeat(np.arange(len(sizes)), sizes)[: len(chosen)]
-    inside = np.arange(len(chosen)) + length <= offsets[text + 1]
-    chosen, text = chosen[inside], text[inside]
+    inside = np.ones(len(chosen), bool)
+    for end in offsets[1:-1].tolist():  # strings that would cross into the next text
+        inside[max(0, end - length + 1) : end] = False
+    chosen = chosen[inside]
     fresh = np.ones(len(chosen), bool)
     fresh[1:] = chosen[1:] != chosen[:-1]  # window starts ascend, and so do their anchors
-    place, text = chosen[fresh], text[fresh]
+    place = chosen[fresh]
+    text = np.searchsorted(offsets, place, side="right") - 1
     reach = length - GRAM
     low = np.maximum(place - reach, offsets[text])
     high = np.minimum(place + GRAM + reach, offsets[text + 1])
@@ -173,6 +183,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
 _NAMES = ["h", "c", "nil", "id", "row", "a", "lead", "size", "done"]
 FOUND = "kind int, h long, nil int, id long, row long, a long, lead int, size int"
 SPAN, CONTEXT, SINGLE = 0, 1, 2  # a span to remove; a context to compare; one to take apart into single strings
+EDGE, COUNT = 3, 4  # a context whose anchor may go on in the next task; how many contexts of it this task has (in a)
 
 
 def _batch(columns: list[np.ndarray], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -233,11 +244,18 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("nil", "id", "row", "text").mapInArrow(run, ROW)
 
 
-def _met(occurrences: DataFrame, hot: int) -> DataFrame:
-    """kind, h, document, a, lead, size: spans that go, and the first occurrences of contexts whose anchor has several."""
+def _met(occurrences: DataFrame, hot: int, spread: bool) -> DataFrame:
+    """kind, h, document, a, lead, size: spans that go, and the first occurrences of contexts whose anchor has several.
+
+    With spread, rows are dealt by ranges of (anchor, context), so a frequent
+    anchor's contexts lie in as many tasks as its rows need. What a task can't
+    settle alone, the contexts of its first and its last anchor, it gives out as
+    EDGE with their COUNT.
+    """
 
     def run(batches):
-        last_h = last_c = None
+        last_h = last_c = first_h = None
+        whole = 0  # contexts of the task's first anchor
         held: list[np.ndarray] = []  # firsts of the open anchor, as rows of a table
         count, state = 0, 0  # firsts so far; 1 once they are let go as single strings
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -265,6 +283,14 @@ def _met(occurrences: DataFrame, hot: int) -> DataFrame:
             first = new_c & ~done
             gone = np.flatnonzero(~first)
             out = [table(b, gone, SPAN)] if len(gone) else []
+            if first_h is None:
+                first_h = h[0]
+            if spread:
+                mine = np.flatnonzero(first & (h == first_h))
+                if len(mine):
+                    whole += len(mine)
+                    out.append(table(b, mine, EDGE))
+                    first[mine] = False
             edges = np.concatenate([np.flatnonzero(new_h), [len(h)]])
             firsts = np.flatnonzero(first)
             # Firsts of the anchor that was open before this batch.
@@ -301,10 +327,27 @@ def _met(occurrences: DataFrame, hot: int) -> DataFrame:
                     held = []
             for part in out:
                 yield _batch(part, names, kinds)
-        if not state and (part := settle()) is not None:
-            yield _batch(part, names, kinds)
+        if not spread:
+            if not state and (part := settle()) is not None:
+                yield _batch(part, names, kinds)
+        elif first_h is not None:
+            for part in held:
+                part[0][:] = EDGE
+                yield _batch(part, names, kinds)
+            tell = [(first_h, whole)] + [(last_h, count)] * bool(last_h != first_h)
+            none = [0] * len(tell)
+            yield _batch([[COUNT] * len(tell), [x for x, _ in tell], none, none, none, [n for _, n in tell], none, none], names, kinds)
+
+    dealt = occurrences.repartitionByRange("h", "c") if spread else occurrences.repartition("h")
+    return dealt.sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND)
+
 
-    return occurrences.repartition("h").sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND)
+def _settled(met: DataFrame, hot: int) -> DataFrame:
+    """The contexts to compare or take apart, with those at the edges of tasks decided by all tasks' counts."""
+    counts = met.where(F.col("kind") == COUNT).groupBy("h").agg(F.sum("a").alias("n"))
+    edges = met.where(F.col("kind") == EDGE).join(F.broadcast(counts), "h").where("n > 1")  # two counts a task at most
+    edges = edges.withColumn("kind", F.when(F.col("n") > hot, SINGLE).otherwise(CONTEXT)).select(*met.columns)
+    return met.where(F.col("kind").isin(CONTEXT, SINGLE)).unionByName(edges)
 
 
 def _with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -388,8 +431,9 @@ def _single_rows(contexts: DataFrame, length: int) -> DataFrame:
                     continue
                 at = np.arange(len(part) - length + 1)
                 text = np.repeat(np.arange(y - x), np.diff(own))[: len(at)]
-                total, gram = _prefix(part), np.arange(len(part) - GRAM + 1)
-                chosen = window_minima(_hash(total, gram, gram + GRAM), length - GRAM + 1)
+                total = _prefix(part)
+                _, down = powers(len(total))
+                chosen = window_minima(mix((total[GRAM:] - total[:-GRAM]) * down[: len(part) - GRAM + 1]), length - GRAM + 1)
                 inside = (at + length <= own[text + 1]) & (chosen == own[text] + lead[x:y][text])
                 at, text = at[inside], text[inside]
                 one = _hash(total, at, at + length)
@@ -417,12 +461,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """nil, id, row, a, size of spans whose bytes have earlier copies; spans may overlap."""
-    met = materialize(_met(_anchor_rows(rows, length), hot), "anchors")
+    met = materialize(_met(_anchor_rows(rows, length), hot, True), "anchors")
     span = ["nil", "id", "row", "a", "size"]
-    wanted = met.where(F.col("kind") != SPAN)
-    contexts = materialize(_with_bytes(rows, wanted), "contexts")
+    contexts = materialize(_with_bytes(rows, _settled(met, hot)), "contexts")
     compared = materialize(_compared(contexts.where(F.col("kind") == CONTEXT), length), "compared")
-    single = _met(_single_rows(contexts.where(F.col("kind") == SINGLE), length), 1 << 62)
+    single = _met(_single_rows(contexts.where(F.col("kind") == SINGLE), length), 1 << 62, False)
     single = materialize(single.where(F.col("kind") == SPAN).select(*span), "single")
     return met.where(F.col("kind") == SPAN).select(*span).union(compared).union(single)
 
