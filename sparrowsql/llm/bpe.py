@@ -45,7 +45,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Below this code point the Unicode versions of this process and the library agree on classes.
 SETTLED = 0x530
 #: Entries that a process keeps in each of its tables before it starts anew, and their longest key.
-TABLE_SIZE, KEY_SIZE = 1_000_000, 64
+TABLE_SIZE, KEY_SIZE = 400_000, 64
 NEVER = 1 << 60
 
 
