@@ -5,8 +5,9 @@ from counts over the whole text. All documents' votes are counted by pattern
 (at most 3^8 patterns, whatever the input's size), and expectation-maximisation
 over those counts estimates each labeller's rates for both classes and each
 pattern's posterior. A linear scorer on hashed features is then trained on the
-posteriors of at most SAMPLE documents, chosen by a hash of the row (a
-documented bound: only this fit uses a sample), and scores every document.
+posteriors of at most SAMPLE documents, those of the least row hashes over all
+partitions (a documented bound: only this fit uses a sample), and scores every
+document.
 
 Features are runs of one to four character classes (lower case, upper case,
 digits, space, line ends, each mark itself), hashed into DIMENSIONS buckets,
@@ -210,8 +211,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     total = int(counts.sum())
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    if total > sample:  # a bounded training sample by hash, as documented
-        rows = rows.where(F.col("h") < F.lit(int((sample / total * 2 - 1) * 2**63 * 0.98)))
+    if total > sample:  # a bounded training sample by hash, as documented: about 2 * sample rows pass, the least hashes of them are taken
+        rows = rows.where(F.col("h") <= F.lit(min(2 * sample * 2**64 // total - 2**63, 2**63 - 1)))
 
     def describe(batches):
         for rows, data, offsets in _each(batches, 2):
@@ -221,8 +222,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 [rows.column(0), pa.array(pattern(votes(ratio, count))), pa.array([r.tobytes() for r in x], pa.binary())], ["h", "pattern", "x"]
             )
 
-    got = rows.mapInArrow(describe, "h long, pattern long, x binary").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.h, r.pattern))
+    got = rows.mapInArrow(describe, "h long, pattern long, x binary").orderBy("h", "pattern", "x").limit(sample).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), DIMENSIONS + RATIOS + 1)
     target = np.array([posterior[r.pattern] for r in got])
     return Model(train(x, target), rates, posterior)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparrowsql.llm import quality
 from sparrowsql.llm.common import table
@@ -37,3 +38,17 @@ def test_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     assert quality.classify(no_docs).count() == 0 and quality.accepted(no_docs).count() == 0
+
+
+def test_sample_is_the_least_hashes_of_the_whole_table(spark, monkeypatch):
+    """20 of 20,000 rows, far below 1 %: rows of every part of the table train, not the first ones."""
+    docs = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of row "), F.col("id"), F.lit(" and more.")).alias("text"))
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, target: seen.append(x) or np.zeros(x.shape[1], np.float32))
+    quality.fit(docs, sample=20)
+    want = docs.orderBy(F.xxhash64("doc_id", "text")).limit(20).collect()
+    assert {r.doc_id // 5_000 for r in want} == {0, 1, 2, 3}
+    data = np.frombuffer("".join(r.text for r in want).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r.text) for r in want])])
+    x = quality.features(data, offsets, quality.ratios(data, offsets)[0]).astype(np.float16).astype(np.float32)
+    assert seen[0].shape == x.shape and (seen[0] == x).all()
