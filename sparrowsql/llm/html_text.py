@@ -4,11 +4,13 @@ A tree builder with implied tags reads the page (end tags that may be left out,
 void elements, raw text, table parts), visibility rules drop what a browser
 wouldn't show (head, scripts, templates, `hidden`, `display:none` and
 `visibility:hidden`, inline or in a style sheet's simple selectors, closed
-details and dialogs), and a renderer emits all other text: white space
+details and dialogs, what SVG and MathML define or describe without drawing it),
+and a renderer emits all other text: white space
 collapsed, a line per block, an empty line around paragraphs, headings, lists
 and tables, list marks with two spaces of indent a level, and table cells
 padded to their column's width and set apart by " | ". Preformatted text keeps
-its white space.
+its white space. Style sheets count as on a screen of unknown size: blocks for
+other media, for sizes and for other conditions hide nothing.
 
 Null and empty pages give the empty text. Nothing recurses, so deep nesting is
 safe; broken markup gives some text and never an error. Repeated rows give
@@ -28,7 +30,12 @@ from pyspark.sql import functions as F
 # The element lists of the HTML standard that this renderer needs.
 VOID = set("area base br col embed hr img input link meta source track wbr param basefont bgsound frame keygen".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template title meta link iframe object audio video canvas svg math noembed noframes datalist area param source track map rp".split())
+HIDDEN = set("head script style template title meta link iframe object audio video canvas noembed noframes datalist area param source track map rp".split())
+# What isn't drawn inside of drawings and formulas.
+UNDRAWN = {
+    "svg": set("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": set("annotation annotation-xml mphantom".split()),
+}
 BLOCK = set(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary search table ul caption tr".split()
@@ -56,16 +63,17 @@ SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "template",
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|url\([^)"']*\)|[{};]""", re.S)
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "inside")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.inside = ""  # svg or math
 
 
 def build(page: str) -> Node:
@@ -132,8 +140,9 @@ def build(page: str) -> Node:
                 stack.pop()  # the body starts without its tag
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
-            node = Node(tag, attrs)
-            stack[-1].children.append(node)
+            node, above = Node(tag, attrs), stack[-1]
+            node.inside = above.tag if above.tag in UNDRAWN else "" if above.tag == "foreignobject" else above.inside
+            above.children.append(node)
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 raw = page[at : stop.start() if stop else end]
@@ -144,6 +153,53 @@ def build(page: str) -> Node:
     return root
 
 
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds on every screen."""
+    for one in media.lower().split(","):
+        words = one.split()
+        if words[:1] == ["only"]:
+            words = words[1:]
+        if words in ([], ["all"], ["screen"]) or len(words) == 2 and words[0] == "not" and words[1] not in ("all", "screen"):
+            return True
+    return False
+
+
+def style_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on every screen; rules nested in rules are left out."""
+    found = []
+    open_: list[tuple[str | None, bool, list[str]]] = []  # selectors (None for a block of rules), whether it holds, declarations
+    start = 0
+
+    def close(end: int) -> None:
+        selectors, holds, said = open_.pop()
+        if selectors is not None and holds:
+            found.append((selectors, ";".join([*said, sheet[start:end]])))
+
+    for m in _CSS.finditer(sheet):
+        if m[0] == "{":
+            selectors: str | None = sheet[start : m.start()].strip()
+            holds = not open_ or open_[-1][0] is None and open_[-1][1]
+            at_rule = re.match(r"@([\w-]+)(.*)", selectors, re.S)
+            if at_rule:
+                name, rest = at_rule[1].lower(), at_rule[2].strip()
+                holds = holds and (name == "layer" or name == "media" and on_screen(rest) or name == "supports" and not re.match(r"not\b", rest, re.I))
+                selectors = None
+            open_.append((selectors, holds, []))
+        elif m[0] == "}":
+            if open_:
+                close(m.start())
+        elif m[0] == ";":
+            if open_:
+                open_[-1][2].append(sheet[start : m.start()])
+        else:
+            continue
+        start = m.end()
+    while open_:  # the end of a sheet closes its blocks
+        close(len(sheet))
+        start = len(sheet)
+    return found
+
+
 def hiding_rules(root: Node) -> set[tuple[str, str]]:
     """(tag, .class or #id) of a style sheet's simple selectors that hide; either may be empty."""
     found, todo = set(), [root]
@@ -152,9 +208,9 @@ def hiding_rules(root: Node) -> set[tuple[str, str]]:
         for child in node.children:
             if isinstance(child, Node):
                 todo.append(child)
-        if node.tag == "style":
+        if node.tag == "style" and on_screen(node.attrs.get("media", "")):
             sheet = _COMMENT.sub("", "".join(c for c in node.children if isinstance(c, str)))
-            for selectors, body in _RULE.findall(sheet):
+            for selectors, body in style_rules(sheet):
                 if _GONE.search(body):
                     for one in selectors.split(","):
                         m = re.fullmatch(r"\s*([a-zA-Z][\w-]*|\*)?([.#][\w-]+)?\s*", one)
@@ -167,6 +223,8 @@ def visible(node: Node, rules: set[tuple[str, str]]) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or _GONE.search(attrs.get("style", "")):
         return False
+    if node.inside and tag in UNDRAWN[node.inside]:
+        return False
     if tag == "input" or tag == "dialog" and "open" not in attrs:
         return False
     if rules:
@@ -292,6 +350,7 @@ def render(page: str) -> str:
                 flow.pre(item) if pre else flow.text(item)
             continue
         tag = item.tag
+        label = item.inside == "svg" and tag in ("text", "foreignobject")
         if not leaving:
             if not visible(item, rules):
                 continue
@@ -307,7 +366,7 @@ def render(page: str) -> str:
                 continue
             if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) and tag != "table":
                 flow.spaced()
-            elif tag in BLOCK and tag != "table":
+            elif label or tag in BLOCK and tag != "table":
                 flow.end()
             if tag == "table":
                 if tables and tables[-1].cell is not None:
@@ -385,7 +444,7 @@ def render(page: str) -> str:
             closed = int(item.attrs["#closed"])
         elif tag in SPACED:
             flow.spaced()
-        elif tag in BLOCK:
+        elif label or tag in BLOCK:
             flow.end()
     flow.end()
     return "\n".join(flow.lines).strip("\n")

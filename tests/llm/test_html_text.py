@@ -64,3 +64,39 @@ def test_edges(spark):
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in html_text.extract(frame).collect()) == [("1", ""), ("2", ""), ("3", "x"), ("3", "x"), ("None", "x")]
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+SHEETS = [
+    ("@media print { .side { display:none } .x{color:red} }", "side\nx\nlast"),
+    ("@media print { body {display:none} }", "side\nx\nlast"),
+    ("@media screen and (max-width: 600px) { .side{display:none} } .x{display:none}", "side\nlast"),
+    ("@media screen { .side{display:none} } @media all{.x{display:none}}", "last"),
+    ("@media print, only screen { .side{display:none} }", "x\nlast"),
+    ("@media not print { .side{display:none} } @media not screen { .x{display:none} }", "x\nlast"),
+    ("@media print { @supports (display:grid) { .x{display:none} } } .side{display:none}", "x\nlast"),
+    ("@layer a { @media screen { .side{color:red; display:none} } }", "x\nlast"),
+    ("@font-face { font-family: a } @keyframes k { from {display:none} } .side{display:none}", "x\nlast"),
+    ("@import 'a;{b'; .side::before{content:'}'} .x{display:none", "side\nlast"),
+    (".side { color:red; .x { display:none } }", "side\nx\nlast"),
+    ("@media print {" * 5000 + ".x{display:none}", "side\nx\nlast"),
+]
+
+
+@pytest.mark.parametrize(("sheet", "text"), SHEETS)
+def test_sheets_hide_what_a_screen_hides(sheet, text):
+    assert html_text.render(f"<style>{sheet}</style><body><p class=side>side</p><p class=x>x</p><p>last").replace("\n\n", "\n") == text
+
+
+DRAWN = [
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+    ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>", "x"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>A<tspan>B</tspan></text><text>C</text><path d='M0'/></svg>z", "AB\nC\nz"),
+    ("<svg><foreignObject><p>in</p><desc>shown</desc></foreignObject></svg>", "in\n\nshown"),
+    ("<p>x<desc>y</desc>", "xy"),
+    ("<style media=print>p{display:none}</style><p>x", "x"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), DRAWN)
+def test_drawings_and_formulas(page, text):
+    assert html_text.render(page) == text
