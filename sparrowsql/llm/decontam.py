@@ -15,7 +15,8 @@ collisions.
 Only documents with a hit are joined back to their texts. The minima of the
 benchmark are broadcast when counted at BROADCAST_ROWS or fewer; beyond that
 the join shuffles, and Spark splits frequent minima. Fingerprints match on
-lower() of the text, which equal windows share too; the windows themselves are
+lower() of each word alone (lower() of a running text depends on what stands
+beside a word), which equal windows share too; the windows themselves are
 compared with A-Z lower-cased only.
 
 Null and empty texts have no words. A repeated row gives a repeated result. An
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from sparrowsql.llm.common import text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, K = 8, 4
 BROADCAST_ROWS = 500_000
 
@@ -50,9 +52,9 @@ def _shift(array: str, by: int) -> Column:
 
 
 def _minima(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """df (with a column w of words) with m<L> for each length L: for each place, the window's least k-gram hash."""
+    """df (with a column w of words in any case) with m<L> for each length L: for each place, the window's least k-gram hash."""
     both = lambda a, b: F.xxhash64(a, b)
-    df = df.withColumn("g1", F.transform("w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("g1", F.transform("w", lambda w: F.xxhash64(F.lower(w))))
     if max(lengths) > 1:
         df = df.withColumn("g2", F.zip_with("g1", _shift("g1", 1), both))
     if max(lengths) > 2:
@@ -106,7 +108,7 @@ def hits(
     lengths = [r.length for r in found.select("length").distinct().collect()] or [window]  # window values at most
     keyed = _keyed(docs, id_col, text_col)
 
-    text = found.withColumn("w", words_of(F.lower("gram")))
+    text = found.withColumn("w", words_of(F.col("gram")))
     prints = None
     for length in lengths:
         part = _minima(text.where(F.col("length") == length), [length]).select(F.element_at(f"m{length}", 1).alias("mark"))
@@ -115,15 +117,14 @@ def hits(
     if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
 
-    marked = _minima(keyed.withColumn("w", words_of(F.lower("body"))).select("row_key", "id", "w"), lengths)
+    marked = _minima(keyed.withColumn("w", F.regexp_extract_all("body", F.lit(ANY_CASE), F.lit(0))).select("row_key", "id", "w"), lengths)
     every = F.array_distinct(F.concat(*[F.col(f"m{n}") for n in lengths]))
     marks = marked.select("row_key", "id", F.explode(every).alias("mark"))
     near = marks.join(prints, "mark", "left_semi").groupBy("row_key", "id").agg(F.collect_set("mark").alias("marks"))
     near = near.select(F.col("row_key").alias("k"), F.col("id").alias("i"), "marks")
 
     whole = keyed.join(near, (F.col("row_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
-    whole = _minima(whole.withColumn("w", words_of(F.lower("body"))), lengths)
-    whole = whole.withColumn("w", words_of(lowered(F.col("body")))).drop("body")
+    whole = _minima(whole.withColumn("w", words_of(lowered(F.col("body")))).drop("body"), lengths)
     def spots_of(length: int) -> Column:
         hit = F.transform(f"m{length}", lambda m, i: F.when(F.array_contains("marks", m), i + 1))
         return F.transform(

@@ -71,3 +71,13 @@ def test_clean_drops_what_annotate_marks(spark, sf):
 def test_native(spark, sf):
     plan = decontam.annotate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def test_capital_sigma_beside_marks(spark):
+    """lower() of a running text makes it a final or an inner sigma by what stands beside its word."""
+    rows = [(1, "x Α.Σ. foo y"), (2, "to ΟΔΟΣ'Χ go"), (3, "ΑΣ:Β c"), (4, "x α.σ. foo")]
+    items = [(10, "Α Σ foo"), (20, "ΟΔΟΣ Χ"), (30, "ΑΣ Β C")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.annotate(docs, bench).collect()
+    assert sorted(map(repr, map(tuple, got))) == brute(rows, items)
+    assert [r.n_items for r in sorted(got)] == [1, 1, 1, 0]
