@@ -169,7 +169,7 @@ class ChunkEncoder:
         numbers = "".join(c for c in low if unicodedata.category(c)[0] == "N")
         space = "\t\n\x0b\x0c\r \x85\xa0"  # Unicode's White_Space below U+0300
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
-        self.odd = re.compile("[\u0130\u0300-\U0010ffff]|<\\|")
+        self.odd = re.compile("[\u0130\u023a\u023e\u0300-\U0010ffff]|<\\|")
         self.table: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:

@@ -53,3 +53,10 @@ def test_edges(edge_docs, no_docs):
     want = brute([(r.doc_id, r.text) for r in edge_docs.collect()])
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert bitpack.round_trip(no_docs, PATH, 1).count() == 0
+
+
+def test_every_letter_below_combining_marks_is_cut_as_the_library_does(spark):
+    """Two letters lower to characters beyond the fast path's own."""
+    rows = [(c, f"a{chr(c)}b {chr(c)}{chr(c)} x") for c in range(0xA1, 0x300) if chr(c).isalpha()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, bitpack.round_trip(frame, PATH, 1).collect())) == brute(rows)
