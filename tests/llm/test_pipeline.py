@@ -28,3 +28,14 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_benchmark_stage_drops_documents_of_two_items_only(spark, sf):
+    """One whole passage stays, two go: the stated threshold."""
+    texts = []
+    for r in sorted(table(spark, sf, "benchmark").collect()):
+        if len(r.text.split()) >= 15 and r.text not in texts:
+            texts.append(r.text)
+    rows = [(1, f"{texts[0]} . {texts[1]}"), (2, f"before {texts[0]} after"), (3, "nothing of them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, sf).collect()) == [2, 3]
