@@ -7,23 +7,27 @@ on the input.
 1. Anchors. In every LENGTH-byte string, the leftmost 32-byte run with the least
    hash is its anchor, so equal strings have equal anchors at equal offsets. A
    text has about one anchor in 35 bytes. An anchor's context is all bytes that
-   its strings can reach; contexts with equal anchors and equal bytes (64 bits
-   of hash each) are copies. Each task folds the copies that it sees, so copies
-   in a third of all rows reach the shuffle as a few rows per task.
+   its strings can reach; contexts with equal anchors and equal bytes (128 bits
+   of hash) are copies. Each task folds the copies that it sees, so copies in a
+   third of all rows reach the shuffle as a few rows per task.
 2. Occurrences meet in sorted streams, dealt by ranges of (anchor, context), so
-   that a frequent anchor is spread over tasks; a stream holds at most HOT rows
-   in memory. Of equal contexts the first stays and the others are removed
-   whole. If an anchor has one context only, that's all.
-3. Where contexts of one anchor differ (the edges of copied passages), the first
+   that a frequent anchor is spread over tasks. Of equal contexts the first
+   stays and the others are removed whole. If an anchor has one context only,
+   that's all.
+3. An anchor with more than MOST different contexts (a license line with other
+   text around it in every document) would be too much for one suffix array. Its
+   strings get longer anchors: the leftmost run of least hash of 66 bytes, then
+   83, 92 and so on up to LENGTH, and steps 1 and 2 are repeated on the pieces of
+   its contexts that have them. Pieces that lie inside of the line are equal and
+   fold; pieces whose anchor takes in other text are rare; what stays frequent is
+   about one piece a context and level, half as wide as before. At LENGTH bytes a
+   piece is one string, so the levels end.
+4. Where contexts of one anchor differ (the edges of copied passages), the first
    occurrence of each context is read again from its document, and the contexts
    are put into suffix order. The previous and the next smaller position in that
    order give, for each suffix, its longest match with an earlier place (a
    longest-previous-factor array), cut at LENGTH: where it reaches LENGTH, that
-   string has an earlier copy.
-4. An anchor with more than HOT different contexts (a license line with other
-   text around it in every document) would fill one task. Its strings become
-   single rows by the string's own two hashes instead, folded in each task, and
-   equal ones meet as in 2, spread over all tasks.
+   string has an earlier copy. Frequent anchors or not, this step decides.
 
 A document's removed spans are merged at the end, when spans join texts. Null
 and empty texts have no bytes; texts shorter than LENGTH lose nothing. Null ids
@@ -38,26 +42,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowsql.llm.common import BASE, materialize, mix, powers, slices, utf8
+from sparrowsql.llm.common import materialize, mix, powers, slices, utf8
 
 LENGTH, GRAM = 100, 32
-#: An anchor with more different contexts than this takes the way of single strings.
-HOT = 2_000
-#: Rows of anchors that a task folds at a time, and contexts in one suffix array.
+#: Different contexts of one anchor that one suffix array takes; an anchor with more is told apart by longer anchors.
+MOST = 2_000
+#: Rows of anchors that a task folds at a time, and contexts in one suffix array (and those of one more anchor).
 FOLD_ROWS, SORTED_CONTEXTS = 500_000, 4_000
 _SALT = np.uint64(0x2545F4914F6CDD1D)
-
-
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _SALT)
+_OTHER = mix(np.arange(256, 512, dtype=np.uint64) * _SALT)
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     up, _ = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    np.cumsum(values[data] * up[:-1], out=total[1:])
     return total
 
 
@@ -67,6 +71,26 @@ def _hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _grams(total: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of each run of gram bytes."""
+    _, down = powers(len(total))
+    return mix((total[gram:] - total[:-gram]) * down[: len(total) - gram])
+
+
+def _contexts(data: np.ndarray, total: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each context data[low:high] around an anchor at place; where it begins is part of them."""
+    shape = (place - low).astype(np.uint64) * np.uint64(1009) + (high - place).astype(np.uint64)
+    return mix(_hash(total, low, high) + shape), mix(_hash(_prefix(data, _OTHER), low, high) + shape)
+
+
+def widths(length: int = LENGTH, gram: int = GRAM) -> list[int]:
+    """The sizes of anchors, level by level: each takes half of what is left up to length."""
+    out = [gram]
+    while out[-1] < length:
+        out.append(out[-1] + (length - out[-1] + 1) // 2)
+    return out
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The place of the leftmost least value of each run of width values.
 
@@ -88,16 +112,12 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """For texts end to end: text, place in data, hash of the gram, hash, start and end of the context of each anchor.
-
-    Contexts end at their text's edges; where they do is part of the hash.
-    """
+    """For texts end to end: text, place in data, hash of the gram, two hashes, start and end of the context of each anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none, *[none.astype(np.uint64)] * 3, none, none
     total = _prefix(data)
-    _, down = powers(len(total))
-    grams = mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+    grams = _grams(total, GRAM)
     chosen = window_minima(grams, length - GRAM + 1)  # of each window start
     inside = np.ones(len(chosen), bool)
     for end in offsets[1:-1].tolist():  # strings that would cross into the next text
@@ -110,29 +130,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     reach = length - GRAM
     low = np.maximum(place - reach, offsets[text])
     high = np.minimum(place + GRAM + reach, offsets[text + 1])
-    shape = (place - low).astype(np.uint64) * np.uint64(1009) + (high - place).astype(np.uint64)
-    return text, place, grams[place], mix(_hash(total, low, high) + shape), low, high
-
+    return text, place, grams[place], *_contexts(data, total, place, low, high), low, high
 
-def suffix_order(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order by the first depth symbols (prefix doubling), and each suffix's rank in it.
 
-    keys: symbols with a sentinel of its own after every text, so that no two texts run together.
+def narrowed(data: np.ndarray, offsets: np.ndarray, lead: np.ndarray, gram: int, wider: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Like anchors(), for contexts end to end whose anchor of gram bytes stands at lead: the anchors of wider bytes of its strings."""
+    total = _prefix(data)
+    at = np.arange(len(data) - length + 1)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
+    own = window_minima(_grams(total, gram), length - gram + 1) == offsets[text] + lead[text]
+    own &= at + length <= offsets[text + 1]  # no string that crosses into the next context
+    at, text = at[own], text[own]
+    grams = _grams(total, wider)
+    place = window_minima(grams, length - wider + 1)[at]
+    fresh = np.ones(len(at) + 1, bool)
+    fresh[1:-1] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    first, last = np.flatnonzero(fresh[:-1]), np.flatnonzero(fresh[1:])
+    low, high, place, text = at[first], at[last] + length, place[first], text[first]
+    return text, place, grams[place], *_contexts(data, total, place, low, high), low, high
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at starts in order of their first depth bytes (prefix doubling), and each one's rank.
+
+    Each start has depth bytes of its own text behind it, so that it doesn't matter what follows a text.
     """
-    rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    order = np.argsort(rank, kind="stable")
+    n, have = len(data), min(8, depth)
+    padded = np.concatenate([data, np.zeros(have, np.uint8)])
+    packed = np.zeros(n, np.uint64)
+    for j in range(have):
+        packed = packed << np.uint64(8) | padded[j : j + n]
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
     while have < depth:
         step = min(have, depth - have)
-        behind = np.zeros(len(rank), np.int64)
-        behind[:-step] = rank[step:] + 1
-        pair = rank * (int(rank.max(initial=0)) + 2) + behind
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        rank = np.empty(len(pair), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
         have += step
-    return order, rank
+        at = starts if have == depth else np.arange(n - step)
+        fresh = np.unique(rank[at] * (int(rank.max()) + 1) + rank[at + step], return_inverse=True)[1].astype(np.int64)
+        rank = fresh if have == depth else np.concatenate([fresh, np.zeros(step, np.int64)])
+    if depth <= 8:
+        rank = rank[starts]
+    return np.argsort(rank, kind="stable"), rank
 
 
 def nearest_smaller(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,70 +189,75 @@ def nearest_smaller(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def earlier_copies(texts: list[bytes], starts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """The places in each text whose length bytes have a copy at a smaller position; starts gives the position of each text.
+def earlier_copies(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in it) of each string of length bytes that has a copy at a smaller position.
 
-    Texts may overlap, as contexts of one document do: a string is no copy of itself.
+    Texts lie end to end; starts gives the position of each. Texts may overlap,
+    as contexts of one document do: a string is no copy of itself.
     """
-    sizes = np.array([len(t) + 1 for t in texts])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    keys = np.zeros(int(first[-1]), np.int64)
-    for i, t in enumerate(texts):
-        keys[first[i] : first[i + 1] - 1] = np.frombuffer(t, np.uint8)
-    keys[first[1:] - 1] = 256 + np.arange(len(texts))  # a sentinel of its own
-    order, rank = suffix_order(keys, length)
-    position = np.arange(len(keys)) - np.repeat(first[:-1], sizes) + np.repeat(np.array(starts, np.int64), sizes)
-    before, after = nearest_smaller(position[order])
-    n, ranks = len(order), rank[order]  # equal ranks: equal in their first length symbols
+    count = np.maximum(np.diff(offsets) - length + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    if not len(text):
+        return text, text
+    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    order, rank = suffix_order(data, offsets[text] + place, length)
+    before, after = nearest_smaller((starts[text] + place)[order])
+    n, ranks = len(order), rank[order]  # equal ranks: equal in their first length bytes
     hit = (before >= 0) & (ranks[np.maximum(before, 0)] == ranks) | (after < n) & (ranks[np.minimum(after, n - 1)] == ranks)
     found = np.sort(order[hit])
-    edges = np.searchsorted(found, first)
-    return [found[edges[i] : edges[i + 1]] - first[i] for i in range(len(texts))]
+    return text[found], place[found]
 
 
 # --- the distributed plan ---------------------------------------------------------------------------
 
-# h, c: hashes of anchor and context; nil, id, row: the document; a: where the context starts in it;
-# shape: how far it reaches before and after the anchor; done: whether the task knows that an earlier copy exists.
-ROW = "h long, c long, nil int, id long, row long, a long, lead int, size int, done boolean"
-_ORDER = ["h", "c", "done", "nil", "id", "row", "a"]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-_NAMES = ["h", "c", "nil", "id", "row", "a", "lead", "size", "done"]
+# h; c, d: hashes of anchor and context; nil, id, row: the document; a: where the context starts in it; lead: where
+# the anchor starts in the context; done: whether the task knows that an earlier copy exists. Pieces of contexts bring their bytes.
+ROW = "h long, c long, d long, nil int, id long, row long, a long, lead int, size int, done boolean"
+_ORDER = ["h", "c", "d", "done", "nil", "id", "row", "a"]
+_NAMES = ["h", "c", "d", "nil", "id", "row", "a", "lead", "size"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 FOUND = "kind int, h long, nil int, id long, row long, a long, lead int, size int"
-SPAN, CONTEXT, SINGLE = 0, 1, 2  # a span to remove; a context to compare; one to take apart into single strings
+_KEPT = ["h", "nil", "id", "row", "a", "lead", "size"]
+SPAN, CONTEXT, DEEP = 0, 1, 2  # a span to remove; a context to compare; one whose anchor has too many
 EDGE, COUNT = 3, 4  # a context whose anchor may go on in the next task; how many contexts of it this task has (in a)
 
 
-def _batch(columns: list[np.ndarray], names: list[str], kinds: list) -> pa.RecordBatch:
+def _batch(columns: list, names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 class _Fold:
-    """Marks, in runs of a task's rows, all but the first of equal (h, c) as done."""
+    """Marks, in runs of a task's rows, all but the first of equal (h, c, d) as done."""
 
     def __init__(self):
         self.parts: list[list[np.ndarray]] = []
+        self.raw: list[pa.Array] = []
         self.size = 0
 
-    def add(self, columns: list[np.ndarray]):
+    def add(self, columns: list[np.ndarray], raw: pa.Array | None = None):
         self.parts.append(columns)
+        if raw is not None:
+            self.raw.append(raw)
         self.size += len(columns[0])
         return self.close() if self.size >= FOLD_ROWS else None
 
     def close(self):
         if not self.size:
             return None
-        h, c, nil, id_, row, a, lead, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        order = np.lexsort((a, row, id_, nil, c, h))
+        h, c, d, nil, id_, row, a, lead, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((a, row, id_, nil, d, c, h))
         again = np.zeros(len(h), bool)
-        h, c, nil, id_, row, a, lead, size = (x[order] for x in (h, c, nil, id_, row, a, lead, size))
-        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        h, c, d, nil, id_, row, a, lead, size = (x[order] for x in (h, c, d, nil, id_, row, a, lead, size))
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])
         # What is known to go needs to meet nothing more: it travels under a key of its own.
         spot = id_[again].view(np.uint64) * _SALT + a[again].view(np.uint64)
-        h, c = h.copy(), c.copy()
-        h[again], c[again] = mix(spot).view(np.int64), 0
-        return _batch([h, c, nil, id_, row, a, lead, size, again], _NAMES, _KINDS)
+        h[again], c[again], d[again] = mix(spot).view(np.int64), 0, 0
+        made = _batch([h, c, d, nil, id_, row, a, lead, size, again], [*_NAMES, "done"], [*_KINDS, pa.bool_()])
+        if self.raw:
+            raw = pa.concat_arrays(self.raw).take(pa.array(order))
+            made = made.append_column("bytes", pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), raw))
+        self.parts, self.raw, self.size = [], [], 0
+        return made
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,6 +270,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows if unique else rows.dropDuplicates(["nil", "id", "row"])
 
 
+def _signed(*hashes: np.ndarray) -> list[np.ndarray]:
+    return [x.view(np.int64) for x in hashes]
+
+
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         fold = _Fold()
@@ -236,11 +282,11 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             nil, ids, row = (batch.column(i).to_numpy() for i in range(3))
             for x, y in slices(offsets):
                 own = offsets[x : y + 1] - offsets[x]
-                text, place, gram, context, low, high = anchors(data[offsets[x] : offsets[y]], own, length)
+                text, place, h, c, d, low, high = anchors(data[offsets[x] : offsets[y]], own, length)
                 if not len(text):
                     continue
                 at = own[text]
-                columns = [gram.view(np.int64), context.view(np.int64), nil[x:y][text], ids[x:y][text], row[x:y][text], low - at, place - low, high - low]
+                columns = [*_signed(h, c, d), nil[x:y][text], ids[x:y][text], row[x:y][text], low - at, place - low, high - low]
                 if (made := fold.add(columns)) is not None:
                     yield made
         if (made := fold.close()) is not None:
@@ -249,110 +295,116 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("nil", "id", "row", "text").mapInArrow(run, ROW)
 
 
-def _met(occurrences: DataFrame, hot: int, spread: bool) -> DataFrame:
-    """kind, h, document, a, lead, size: spans that go, and the first occurrences of contexts whose anchor has several.
+def _deeper(contexts: DataFrame, gram: int, wider: int, length: int) -> DataFrame:
+    """The pieces of contexts whose strings have one anchor of wider bytes, as occurrences with their bytes, folded in the task."""
+
+    def run(batches):
+        fold = _Fold()
+        for batch in batches:
+            data, offsets = utf8(batch.column(5))
+            nil, ids, row, a, lead = (batch.column(i).to_numpy() for i in range(5))
+            for x, y in slices(offsets):
+                part, own = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
+                text, place, h, c, d, low, high = narrowed(part, own, lead[x:y], gram, wider, length)
+                raw = pa.array([part[s:e].tobytes() for s, e in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                columns = [*_signed(h, c, d), nil[x:y][text], ids[x:y][text], row[x:y][text], a[x:y][text] + low - own[text], place - low, high - low]
+                if (made := fold.add(columns, raw)) is not None:
+                    yield made
+        if (made := fold.close()) is not None:
+            yield made
 
-    With spread, rows are dealt by ranges of (anchor, context), so a frequent
-    anchor's contexts lie in as many tasks as its rows need. What a task can't
-    settle alone, the contexts of its first and its last anchor, it gives out as
-    EDGE with their COUNT.
+    return contexts.select("nil", "id", "row", "a", "lead", "bytes").mapInArrow(run, f"{ROW}, bytes binary")
+
+
+def _met(occurrences: DataFrame, most: int) -> DataFrame:
+    """kind, h, document, a, lead, size (and bytes): spans that go, and the first occurrences of contexts whose anchor has several.
+
+    Rows are dealt by ranges of (anchor, context), so a frequent anchor's
+    contexts lie in as many tasks as its rows need, and a task holds at most
+    `most` of them. What a task can't settle alone, the contexts of its first
+    and its last anchor, it gives out as EDGE with their COUNT.
     """
+    raw = "bytes" in occurrences.columns
+    fields = [*_KEPT, "bytes"] if raw else _KEPT
 
     def run(batches):
-        last_h = last_c = first_h = None
-        whole = 0  # contexts of the task's first anchor
-        held: list[np.ndarray] = []  # firsts of the open anchor, as rows of a table
-        count, state = 0, 0  # firsts so far; 1 once they are let go as single strings
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        names = ["kind", "h", "nil", "id", "row", "a", "lead", "size"]
-
-        def table(batch, place, kind):
-            h, nil, id_, row, a, lead, size = (batch[i][place] for i in (0, 2, 3, 4, 5, 6, 7))
-            return [np.full(len(h), kind, np.int32), h, nil, id_, row, a, lead, size]
-
-        def settle():
-            """The held firsts of the open anchor: nothing for one context, else contexts to compare."""
-            nonlocal held
-            out = [np.concatenate(x) for x in zip(*held, strict=True)] if held and count > 1 else None
-            held = []
+        last = None  # h, c, d of the row before
+        first_h, opening, before = None, True, 0  # the task's first anchor, whether it is still open, its contexts
+        held: list[pa.RecordBatch] = []  # the open anchor's contexts, unless it is the first or has too many
+        count = 0
+
+        def rows_of(got, place, kind):
+            out = got.select(fields).take(pa.array(place))
+            columns = out.columns
+            if raw and np.isscalar(kind) and kind == SPAN:
+                columns[-1] = pa.nulls(len(place), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(place))), *columns], ["kind", *fields])
+
+        def told(batch, kind):
+            return batch.set_column(0, "kind", pa.array(np.full(batch.num_rows, kind, np.int32)))
+
+        def more(got, place):
+            """Contexts of the open anchor: the batches to give out now."""
+            nonlocal held, count
+            count += len(place)
+            if opening:
+                return [rows_of(got, place, EDGE)] if len(place) else []
+            held.append(rows_of(got, place, CONTEXT))
+            if count <= most:
+                return []
+            out, held = [told(x, DEEP) for x in held], []
             return out
 
         for got in batches:
-            b = [got.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-            h, c, done = b[0], b[1], b[8]
-            if not len(h):
+            if not got.num_rows:
                 continue
-            new_h = np.concatenate([[h[0] != last_h], h[1:] != h[:-1]])
-            new_c = new_h | np.concatenate([[c[0] != last_c], c[1:] != c[:-1]])
-            last_h, last_c = h[-1], c[-1]
+            h, c, d, done = (got.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 9))
+            if last is None:
+                first_h, last = h[0], (h[0], None, None)
+            new_h = np.concatenate([[h[0] != last[0]], h[1:] != h[:-1]])
+            same = (c[1:] == c[:-1]) & (d[1:] == d[:-1])
+            new_c = new_h | np.concatenate([[c[0] != last[1] or d[0] != last[2]], ~same])
+            last = h[-1], c[-1], d[-1]
             first = new_c & ~done
             gone = np.flatnonzero(~first)
-            out = [table(b, gone, SPAN)] if len(gone) else []
-            if first_h is None:
-                first_h = h[0]
-            if spread:
-                mine = np.flatnonzero(first & (h == first_h))
-                if len(mine):
-                    whole += len(mine)
-                    out.append(table(b, mine, EDGE))
-                    first[mine] = False
-            edges = np.concatenate([np.flatnonzero(new_h), [len(h)]])
-            firsts = np.flatnonzero(first)
-            # Firsts of the anchor that was open before this batch.
-            ahead = firsts[firsts < edges[0]]
-            groups = np.searchsorted(edges, firsts[len(ahead) :], side="right") - 1
-            counts = np.bincount(groups, minlength=len(edges) - 1)
-            if len(ahead):
-                count += len(ahead)
-                held.append(table(b, ahead, CONTEXT))
-                if count > hot:
-                    state = 1
-                if state:
-                    part = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    part[0][:] = SINGLE
-                    out.append(part)
-                    held = []
-            if len(edges) > 1:
-                if not state and (part := settle()) is not None:
-                    out.append(part)
-                held, count, state = [], 0, 0
-                closed = counts.copy()
-                closed[-1] = 0  # the last anchor stays open
-                many = closed[groups] > 1
-                part = table(b, firsts[len(ahead) :][many], CONTEXT)
-                part[0][closed[groups][many] > hot] = SINGLE
-                if len(part[0]):
-                    out.append(part)
-                tail = firsts[len(ahead) :][groups == len(edges) - 2]
-                held, count = [table(b, tail, CONTEXT)], len(tail)
-                if count > hot:
-                    state = 1
-                    held[0][0][:] = SINGLE
-                    out.append(held[0])
-                    held = []
-            for part in out:
-                yield _batch(part, names, kinds)
-        if not spread:
-            if not state and (part := settle()) is not None:
-                yield _batch(part, names, kinds)
-        elif first_h is not None:
-            for part in held:
-                part[0][:] = EDGE
-                yield _batch(part, names, kinds)
-            tell = [(first_h, whole)] + [(last_h, count)] * bool(last_h != first_h)
+            if len(gone):
+                yield rows_of(got, gone, SPAN)
+            place = np.flatnonzero(first)
+            group = np.cumsum(new_h)
+            top, group = int(group[-1]), group[place]  # 0: the anchor that was open before
+            yield from more(got, place[group == 0])
+            if top:
+                if opening:
+                    opening, before = False, count
+                elif count > 1:
+                    yield from held
+                counts = np.bincount(group, minlength=top + 1)
+                inner = (group > 0) & (group < top) & (counts[group] > 1)
+                if inner.any():
+                    yield rows_of(got, place[inner], np.where(counts[group[inner]] > most, DEEP, CONTEXT))
+                held, count = [], 0
+                yield from more(got, place[group == top])
+        if last is not None:
+            for x in held:
+                yield told(x, EDGE)
+            tell = [(first_h, count if opening else before)] + [(last[0], count)] * (not opening)
             none = [0] * len(tell)
-            yield _batch([[COUNT] * len(tell), [x for x, _ in tell], none, none, none, [n for _, n in tell], none, none], names, kinds)
+            columns = [[COUNT] * len(tell), [x for x, _ in tell], none, none, none, [n for _, n in tell], none, none]
+            made = _batch(columns, ["kind", *_KEPT], [pa.int32(), *(_KINDS[_NAMES.index(x)] for x in _KEPT)])
+            yield made.append_column("bytes", pa.nulls(len(tell), pa.binary())) if raw else made
 
-    dealt = occurrences.repartitionByRange("h", "c") if spread else occurrences.repartition("h")
-    return dealt.sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND)
+    return occurrences.repartitionByRange("h", "c").sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND + ", bytes binary" * raw)
 
 
-def _settled(met: DataFrame, hot: int) -> DataFrame:
-    """The contexts to compare or take apart, with those at the edges of tasks decided by all tasks' counts."""
+def _settled(met: DataFrame, most: int) -> DataFrame:
+    """The contexts to compare or to go deeper with, those at the edges of tasks decided by all tasks' counts."""
     counts = met.where(F.col("kind") == COUNT).groupBy("h").agg(F.sum("a").alias("n"))
     edges = met.where(F.col("kind") == EDGE).join(F.broadcast(counts), "h").where("n > 1")  # two counts a task at most
-    edges = edges.withColumn("kind", F.when(F.col("n") > hot, SINGLE).otherwise(CONTEXT)).select(*met.columns)
-    return met.where(F.col("kind").isin(CONTEXT, SINGLE)).unionByName(edges)
+    edges = edges.withColumn("kind", F.when(F.col("n") > most, DEEP).otherwise(CONTEXT)).select(*met.columns)
+    return met.where(F.col("kind").isin(CONTEXT, DEEP)).unionByName(edges)
+
+
+PIECE = ["kind", "h", "nil", "id", "row", "a", "lead", "bytes"]
 
 
 def _with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -373,11 +425,8 @@ def _with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 y = min(x + 20_000, len(owner))
                 cut = [data[s : s + n].tobytes() for s, n in zip(start[x:y].tolist(), size[x:y].tolist(), strict=True)]
                 ids = [batch.column(i).to_numpy()[owner[x:y]] for i in range(3)]
-                yield _batch(
-                    [kind[x:y], h[x:y], *ids, a[x:y], lead[x:y], cut],
-                    ["kind", "h", "nil", "id", "row", "a", "lead", "bytes"],
-                    [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()],
-                )
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield _batch([kind[x:y], h[x:y], *ids, a[x:y], lead[x:y], cut], PIECE, kinds)
 
     return joined.mapInArrow(run, schema)
 
@@ -388,69 +437,44 @@ SPANS = "nil int, id long, row long, a long, size int"
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of the strings with earlier copies, from suffix arrays over whole groups of contexts."""
 
-    def run(batches):
-        rows: list[tuple] = []
-
-        def close():
-            rows.sort(key=lambda r: r[1:5])
-            documents: dict[tuple, int] = {}
-            for r in rows:
-                documents.setdefault(r[1:4], len(documents))
-            starts = [(documents[r[1:4]] << 40) + r[4] for r in rows]
-            out = []
-            for r, places in zip(rows, earlier_copies([r[5] for r in rows], starts, length), strict=True):
-                if len(places):
-                    cut = np.flatnonzero(np.diff(places) > 1) + 1
-                    for run_ in np.split(places, cut):
-                        out.append((*r[1:4], r[4] + int(run_[0]), int(run_[-1] - run_[0]) + length))
-            rows.clear()
-            return _batch(list(zip(*out, strict=True)), ["nil", "id", "row", "a", "size"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]) if out else None
-
-        for batch in batches:
-            h = batch.column(1).to_pylist()
-            fields = [batch.column(i).to_pylist() for i in (2, 3, 4, 5, 7)]
-            for key, *rest in zip(h, *fields, strict=True):
-                if len(rows) >= SORTED_CONTEXTS and key != rows[-1][0] and (made := close()) is not None:
-                    yield made
-                rows.append((key, *rest))
-        if rows and (made := close()) is not None:
-            yield made
-
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
-
-
-def _single_rows(contexts: DataFrame, length: int) -> DataFrame:
-    """Each string of a context that has the context's anchor, as an occurrence of its own, folded in the task.
-
-    A string has one anchor, so it comes once, and all its copies come this way too.
-    """
+    def close(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        nil, id_, row, a = (table.column(i).to_numpy() for i in range(1, 5))
+        order = np.lexsort((a, row, id_, nil))
+        nil, id_, row, a = nil[order], id_[order], row[order], a[order]
+        data, offsets = utf8(table.column(5).combine_chunks().take(pa.array(order)))
+        new = np.concatenate([[False], (id_[1:] != id_[:-1]) | (row[1:] != row[:-1]) | (nil[1:] != nil[:-1])])
+        text, place = earlier_copies(data, offsets, (np.cumsum(new) << 40) + a, length)
+        if not len(text):
+            return None
+        edge = np.ones(len(text) + 1, bool)
+        edge[1:-1] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
+        low, high = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
+        text, place, size = text[low], place[low], place[high] - place[low] + length
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        return _batch([nil[text], id_[text], row[text], a[text] + place, size], ["nil", "id", "row", "a", "size"], kinds)
 
     def run(batches):
-        fold = _Fold()
+        parts: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in batches:
-            data, offsets = utf8(batch.column(7))
-            nil, ids, row, a, lead = (batch.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
-            for x, y in slices(offsets):
-                part, own = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
-                if len(part) < length:
-                    continue
-                at = np.arange(len(part) - length + 1)
-                text = np.repeat(np.arange(y - x), np.diff(own))[: len(at)]
-                total = _prefix(part)
-                _, down = powers(len(total))
-                chosen = window_minima(mix((total[GRAM:] - total[:-GRAM]) * down[: len(part) - GRAM + 1]), length - GRAM + 1)
-                inside = (at + length <= own[text + 1]) & (chosen == own[text] + lead[x:y][text])
-                at, text = at[inside], text[inside]
-                one = _hash(total, at, at + length)
-                two = _hash(_prefix(part ^ np.uint8(0x5A)), at, at + length)
-                n = len(at)
-                columns = [one.view(np.int64), two.view(np.int64), nil[x:y][text], ids[x:y][text], row[x:y][text], a[x:y][text] + at - own[text], np.zeros(n, np.int32), np.full(n, length, np.int32)]
-                if (made := fold.add(columns)) is not None:
-                    yield made
-        if (made := fold.close()) is not None:
+            h = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])) if len(h) else []
+            at = 0
+            for cut in starts:  # where another anchor begins
+                if size + cut - at >= SORTED_CONTEXTS:
+                    parts.append(batch.slice(at, cut - at))
+                    if (made := close(parts)) is not None:
+                        yield made
+                    parts, size, at = [], 0, cut
+            if len(h):
+                parts.append(batch.slice(at))
+                size += len(h) - at
+                last = h[-1]
+        if size and (made := close(parts)) is not None:
             yield made
 
-    return contexts.mapInArrow(run, ROW)
+    return contexts.select("h", "nil", "id", "row", "a", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -464,21 +488,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def removed_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """nil, id, row, a, size of spans whose bytes have earlier copies; spans may overlap."""
-    met = materialize(_met(_anchor_rows(rows, length), hot, True), "anchors")
+    sizes = widths(length)
+    met = materialize(_met(_anchor_rows(rows, length), most), "anchors")
     span = ["nil", "id", "row", "a", "size"]
-    contexts = materialize(_with_bytes(rows, _settled(met, hot)), "contexts")
-    compared = materialize(_compared(contexts.where(F.col("kind") == CONTEXT), length), "compared")
-    single = _met(_single_rows(contexts.where(F.col("kind") == SINGLE), length), 1 << 62, False)
-    single = materialize(single.where(F.col("kind") == SPAN).select(*span), "single")
-    return met.where(F.col("kind") == SPAN).select(*span).union(compared).union(single)
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    found = met.where(F.col("kind") == SPAN).select(*span)
+    pieces = materialize(_with_bytes(rows, _settled(met, most)), "contexts")
+    contexts = pieces.where(F.col("kind") == CONTEXT)
+    for gram, wider in zip(sizes, sizes[1:], strict=False):
+        deep = pieces.where(F.col("kind") == DEEP)
+        if deep.isEmpty():
+            break
+        bound = most if wider < length else 1 << 62  # one string each: none is left to tell apart
+        met = materialize(_met(_deeper(deep, gram, wider, length), bound), "anchors")
+        found = found.union(met.where(F.col("kind") == SPAN).select(*span))
+        pieces = _settled(met, bound).select(*PIECE)
+        contexts = contexts.union(pieces.where(F.col("kind") == CONTEXT))
+    return found.union(materialize(_compared(contexts, length), "compared"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans."""
     rows = _rows(docs, id_col, text_col)
-    spans = removed_spans(rows, length, hot).groupBy("nil", "id", "row").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
+    spans = removed_spans(rows, length, most).groupBy("nil", "id", "row").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
     joined = rows.join(spans, ["nil", "id", "row"], "left").select("nil", "id", "text", "spans")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

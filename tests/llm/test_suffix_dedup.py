@@ -53,10 +53,25 @@ def passages(seed):
 
 
 def test_passages_with_any_context(spark):
-    for seed, hot in ((1, 2_000), (2, 3), (3, 0)):  # the second and third go the way of single strings
+    for seed, most in ((1, 2_000), (2, 3), (3, 1)):  # the second and third tell contexts apart by longer anchors
         rows = passages(seed)
         frame = spark.createDataFrame(rows, "doc_id long, text string")
-        assert got(frame, hot=hot) == brute(rows)
+        assert got(frame, most=most) == brute(rows)
+
+
+def test_line_with_thousands_of_contexts(spark):
+    """One line, whole or cut, with other text around it in every document; production parameters."""
+    rng = random.Random(11)
+    line = "Licensed under the terms of the example license, version two; you may not use this file except as it says. " * 2
+    rows = []
+    for i in range(5_000):
+        around = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) for _ in range(2)]
+        cut = line if i % 3 else line[rng.randint(0, 60) : len(line) - rng.randint(0, 60)]
+        rows.append((i, around[0] + cut + around[1]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    met = suffix_dedup._met(suffix_dedup._anchor_rows(suffix_dedup._rows(frame, "doc_id", "text"), 100), suffix_dedup.MOST)
+    assert suffix_dedup._settled(met, suffix_dedup.MOST).where("kind = 2").count() > suffix_dedup.MOST
+    assert got(frame) == brute(rows)
 
 
 def test_edges(spark, no_docs):
@@ -72,12 +87,17 @@ def test_edges(spark, no_docs):
 def test_lpf_agrees_with_sets():
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
-    found = suffix_dedup.earlier_copies(texts, [i << 20 for i in range(30)], 8)
-    seen = set()
-    for t, places in zip(texts, found, strict=True):
-        want = []
-        for i in range(len(t) - 7):
-            if t[i : i + 8] in seen:
-                want.append(i)
-            seen.add(t[i : i + 8])
-        assert places.tolist() == want
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for length in (5, 8, 9, 13, 17):
+        text, place = suffix_dedup.earlier_copies(data, offsets, np.arange(30) << 20, length)
+        seen, want = set(), []
+        for k, t in enumerate(texts):
+            for i in range(len(t) - length + 1):
+                if t[i : i + length] in seen:
+                    want.append((k, i))
+                seen.add(t[i : i + length])
+        assert list(zip(text.tolist(), place.tolist(), strict=True)) == want
+
+
+def test_widths_end_at_the_whole_string():
+    assert suffix_dedup.widths() == [32, 66, 83, 92, 96, 98, 99, 100]
