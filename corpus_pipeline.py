@@ -3,7 +3,7 @@
     quality     documents that the weakly trained classifier rejects go
     exact       of equal texts the one with the largest doc_id stays
     near        of each class of near copies (5-word shingles, 0.8) the smallest doc_id stays
-    benchmark   documents that hold windows of two or more benchmark items go
+    benchmark   documents that hold a whole window (8 words) of any benchmark item go
     encode      every text as byte-level BPE ids: doc_id, n_tokens and digests
 
 All stages but the last return the columns of documents.
@@ -34,7 +34,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), min_items=2)  # as op3's `contaminated`; see the README for what stays
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
