@@ -20,8 +20,9 @@ beside a word), which equal windows share too; the windows themselves are
 compared with A-Z lower-cased only.
 
 Null and empty texts have no words. A repeated row gives a repeated result. An
-empty benchmark hits nothing. Null ids are ids like others. Columns of the
-inputs with any other names don't matter.
+empty benchmark hits nothing. Null ids of documents are ids like others; an
+item without an id hits words but has no name to be listed or counted. A text of
+any length is read whole. Columns of the inputs with any other names don't matter.
 """
 
 from __future__ import annotations
@@ -177,11 +178,25 @@ def annotate(
     )
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2, **names) -> DataFrame:
-    """The documents with fewer than min_items benchmark items, with all their columns."""
-    spots = hits(docs, bench, id_col, text_col, **names)
-    bad = spots.groupBy("row_key", "id").agg(F.collect_set("items").alias("sets"))
-    bad = bad.where(F.size(F.array_distinct(F.flatten("sets"))) >= min_items).select(
+def clean(
+    docs: DataFrame,
+    bench: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    short_items: int = 2,
+) -> DataFrame:
+    """The documents without benchmark text, with all their columns.
+
+    One whole window of any item is enough for a document to go. Items shorter
+    than a window (a phrase of a word or two stands in clean documents as well)
+    count only where a document holds short_items of them.
+    """
+    spots = hits(docs, bench, id_col, text_col, item_col, item_text_col, window)
+    held = spots.groupBy("row_key", "id").agg(F.max("length").alias("longest"), F.collect_set("items").alias("sets"))
+    bad = held.where((F.col("longest") >= window) | (F.size(F.array_distinct(F.flatten("sets"))) >= short_items)).select(
         F.col("row_key").alias("__k"), F.col("id").alias("__i")
     )
     key = F.xxhash64(docs[id_col], text_or_empty(text_col))

@@ -49,9 +49,11 @@ def test_edges(spark, edge_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = [repr(tuple(r)) for r in decontam.annotate(edge_docs, bench).collect()]
     want = brute(rows, [(i if i is not None else None, t) for i, t in bench.collect() if i is not None])
-    # A null item has no name to list, but its words are hits.
-    strip = lambda rs: sorted(r for r in rs if not r.startswith(("(5,", "(6,")))
-    assert strip(got) == strip(want)
+    # A null item has no name to list, but its words are hits: the first word of rows 5 and 6 stands in no window.
+    named = spark.createDataFrame([r for r in bench.collect() if r.item_id is not None], bench.schema)
+    assert sorted(repr(tuple(r)) for r in decontam.annotate(edge_docs, named).collect()) == want
+    hit = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.annotate(edge_docs, bench).collect()}
+    assert hit[5] == hit[6] == (19_999, 1) and len(got) == len(want)
 
 
 def test_empty_tables(spark, edge_docs, no_docs):
@@ -61,11 +63,21 @@ def test_empty_tables(spark, edge_docs, no_docs):
     assert decontam.annotate(no_docs, bench).count() == 0
 
 
-def test_clean_drops_what_annotate_marks(spark, sf):
+def test_clean_drops_documents_with_a_window(spark, sf):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    bad = {r.doc_id for r in decontam.annotate(docs, bench).where("contaminated").collect()}
-    kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
-    assert kept == {r.doc_id for r in docs.collect()} - bad
+    texts = sorted({r.text for r in bench.collect()})
+    planted = [(-1, f"before {texts[0]} after"), (-2, f"{texts[1]} . {texts[2]}"), (-3, " ".join(texts[3].split()[:7])), (-4, "nothing of them")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    bad = {r.doc_id for r in decontam.annotate(docs, bench).where("n_hit > 0").collect()}
+    assert {-1, -2} <= bad and not {-3, -4} & bad and any(i >= 0 for i in bad)
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_clean_needs_two_short_items(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "blue whale"), (3, "one two three four five six seven eight nine")], "item_id long, text string")
+    rows = [(1, "yes"), (2, "a blue whale, yes"), (3, "zero one two three four five six seven eight"), (4, "one two three"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [1, 4, 5]
 
 
 def test_native(spark, sf):

@@ -26,8 +26,9 @@ def check(docs):
     return got
 
 
-def test_tables(spark, sf):
-    assert any(r.n_assign for r in check(table(spark, sf, "documents")))
+def test_tables(spark):
+    got = check(table(spark, "/root/testdata/sf0.01", "documents"))
+    assert any(r.n_assign for r in got) and any(r.n_hex for r in got)
 
 
 def test_edges(spark, edge_docs, no_docs):
