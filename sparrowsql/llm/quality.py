@@ -5,9 +5,10 @@ from counts over the whole text. All documents' votes are counted by pattern
 (at most 3^8 patterns, whatever the input's size), and expectation-maximisation
 over those counts estimates each labeller's rates for both classes and each
 pattern's posterior. A linear scorer on hashed features is then trained on the
-posteriors of at most SAMPLE documents, those of the least row hashes over all
-partitions (a documented bound: only this fit uses a sample), and scores every
-document.
+posteriors of at most SAMPLE documents (a documented bound: only this fit uses a
+sample) and scores every document. The sample holds the SAMPLE distinct texts of
+least hash in the whole table: every task passes on its least hashes, so however
+the rows are dealt out it is the same, and a text on many rows counts once.
 
 Features are runs of one to four character classes (lower case, upper case,
 digits, space, line ends, each mark itself), hashed into DIMENSIONS buckets,
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowsql.llm.common import mix, slices, utf8, words
+from sparrowsql.llm.common import materialize, mix, slices, utf8, words
 
 #: At most so many documents train the scorer.
 SAMPLE = 2_000
@@ -192,16 +193,24 @@ class Model:
         self.weights, self.rates, self.posterior = weights, rates, posterior
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """Count all votes, estimate, and train on at most sample documents; None for an empty table."""
-    body = docs.select(F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
 
     def vote(batches):
-        for _, data, offsets in _each(batches, 1):
-            p, n = np.unique(pattern(votes(*ratios(data, offsets))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], ["pattern", "n"])
-
-    counted = body.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+        """A task's counts by pattern, and the least hashes of its distinct texts."""
+        seen, least = np.zeros(3**RATIOS, np.int64), np.zeros(0, np.int64)
+        for part, data, offsets in _each(batches, 2):
+            seen += np.bincount(pattern(votes(*ratios(data, offsets))), minlength=len(seen))
+            least = np.unique(np.concatenate([least, part.column(0).to_numpy()]))[:sample]
+        found = np.flatnonzero(seen)
+        columns = [pa.array(found), pa.nulls(len(found), pa.int64()), pa.array(seen[found])]
+        yield pa.RecordBatch.from_arrays(columns, ["pattern", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(least), pa.int64()), pa.array(least), pa.nulls(len(least), pa.int64())], ["pattern", "h", "n"])
+
+    told = materialize(rows.mapInArrow(vote, "pattern long, h long, n long"), "votes")
+    counted = told.where("h IS NULL").groupBy("pattern").agg(F.sum("n").alias("n"))
     found = sorted((r.pattern, r.n) for r in counted.collect())  # 3^8 rows at most
     if not found:
         return None
@@ -209,20 +218,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     good, rates = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
 
-    total = int(counts.sum())
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    if total > sample:  # a bounded training sample by hash, as documented: about 2 * sample rows pass, the least hashes of them are taken
-        rows = rows.where(F.col("h") <= F.lit(min(2 * sample * 2**64 // total - 2**63, 2**63 - 1)))
+    chosen = told.where("h IS NOT NULL").select("h").distinct().orderBy("h").limit(sample)  # the documented bound
+    most = chosen.agg(F.max("h")).first()[0]
 
     def describe(batches):
-        for rows, data, offsets in _each(batches, 2):
-            ratio, count = ratios(data, offsets)
-            x = features(data, offsets, ratio).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(pattern(votes(ratio, count))), pa.array([r.tobytes() for r in x], pa.binary())], ["h", "pattern", "x"]
-            )
-
-    got = rows.mapInArrow(describe, "h long, pattern long, x binary").orderBy("h", "pattern", "x").limit(sample).collect()
+        done: set[int] = set()  # hashes of the sample only
+        for part, data, offsets in _each(batches, 2):
+            hashes = part.column(0).to_pylist()
+            for i, h in enumerate(hashes):
+                if h not in done:  # a text that stands on many rows counts once
+                    done.add(h)
+                    own, size = data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
+                    ratio, count = ratios(own, size)
+                    x = features(own, size, ratio).astype(np.float16)
+                    columns = [pa.array([h]), pa.array(pattern(votes(ratio, count))), pa.array([x.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "pattern", "x"])
+
+    described = rows.where(F.col("h") <= most).mapInArrow(describe, "h long, pattern long, x binary")
+    got = described.groupBy("h").agg(F.min("pattern").alias("pattern"), F.min("x").alias("x")).orderBy("h").collect()  # sample rows at most
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), DIMENSIONS + RATIOS + 1)
     target = np.array([posterior[r.pattern] for r in got])
     return Model(train(x, target), rates, posterior)
@@ -248,12 +261,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    return score(docs, fit(docs, id_col, text_col, sample), id_col, text_col)
+    return score(docs, fit(docs, text_col, sample), id_col, text_col)
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier keeps, with all their columns, in one pass over the rows."""
-    model = fit(docs, id_col, text_col, sample)
+    model = fit(docs, text_col, sample)
     if model is None:
         return docs
     place, schema = docs.columns.index(text_col), docs.schema
