@@ -14,9 +14,11 @@ Features are runs of one to four character classes (lower case, upper case,
 digits, space, line ends, each mark itself), hashed into DIMENSIONS buckets,
 and the labellers' own ratios.
 
-Null and empty texts have no features and no votes; they are scored like any
-other and rejected, as they hold nothing. A repeated row gets a repeated
-result. An empty table gives an empty result. Columns of other names don't matter.
+Null and empty texts and texts without any word have no votes and are rejected
+with a score of 0, as they hold nothing. A score of exactly KEEP stays. A text of
+any length is read whole, in memory in proportion to it. A repeated row gets a
+repeated result. An empty table gives an empty result. Columns of other names
+don't matter.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ DIMENSIONS = 2_048
 #: Share of good documents that the estimate starts from.
 PRIOR = 0.8
 KEEP = 0.5
-#: Rates of the votes bad, none, good that the estimate leans on, for bad and for good texts.
-BELIEF = ((0.25, 0.15, 0.60), (0.005, 0.195, 0.80))
+#: Rates of the vote bad that the estimate starts from, for bad and for good texts, and how many documents they stand for.
+BELIEF, WEIGHT = (0.25, 0.01), 50
 
 # name, (bad above or below, threshold), (good above or below, threshold) of a ratio; between them no vote.
 LABELLERS = [
@@ -119,29 +121,28 @@ def unpattern(number: np.ndarray) -> np.ndarray:
     return (number[:, None] // 3 ** np.arange(RATIOS)) % 3 - 1
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Each pattern's posterior of good, and rates[class, labeller, vote + 1].
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each pattern's posterior of good, rates[class, labeller] of the vote bad among votes given, and the share of good.
 
-    The rates lean on BELIEF: a labeller seldom calls a good text bad, while a
-    bad text is bad in one or two ways and looks good to the other labellers.
+    No vote is a missing value: a labeller abstains for want of words, which
+    tells nothing of the class. The rates and the share lean on BELIEF and PRIOR
+    with the weight of WEIGHT documents, whatever the corpus's size, so that a
+    labeller without votes has a rate; all else is estimated.
     """
     vote = unpattern(patterns)
-    total = counts.sum()
-    good = np.where((vote == -1).sum(1) >= 2, 0.05, 0.95)
-    rates = np.zeros((2, RATIOS, 3))
+    bad, given, total = vote == -1, vote != 0, counts.sum()
+    good = np.where(bad.any(1), 0.05, 0.95)
     for _ in range(rounds):
-        prior = np.clip((good @ counts + PRIOR * total) / (2 * total), 0.02, 0.98)
-        for c, share in enumerate((1 - good, good)):
-            for v in (-1, 0, 1):
-                rates[c, :, v + 1] = (share * counts) @ (vote == v) + BELIEF[c][v + 1] * total
-            rates[c] /= rates[c].sum(1, keepdims=True)
-        told = np.log(rates)
-        score = [np.log(p) + sum(told[c, j, vote[:, j] + 1] for j in range(RATIOS)) for c, p in ((0, 1 - prior), (1, prior))]
-        fresh = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
-        if np.abs(fresh - good).max(initial=0) < 1e-6:
-            break
+        prior = (good @ counts + PRIOR * WEIGHT) / (total + WEIGHT)
+        share = np.array([1 - good, good]) * counts
+        rates = (share @ bad + WEIGHT * np.array(BELIEF)[:, None]) / (share @ given + WEIGHT)
+        told = bad @ np.log(rates).T + (given & ~bad) @ np.log1p(-rates).T
+        fresh = 1 / (1 + np.exp(np.clip(told[:, 0] - told[:, 1] + np.log((1 - prior) / prior), -50, 50)))
+        done = np.abs(fresh - good).max(initial=0) < 1e-6
         good = fresh
-    return good, rates
+        if done:
+            break
+    return good, rates, float(prior)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model
     if not found:
         return None
     patterns, counts = np.array([p for p, _ in found]), np.array([n for _, n in found], float)
-    good, rates = expectation_maximisation(patterns, counts)
+    good, rates, _ = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
 
     chosen = told.where("h IS NOT NULL").select("h").distinct().orderBy("h").limit(sample)  # the documented bound
@@ -250,7 +251,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for rows, data, offsets in _each(batches, 2):
             ratio, count = ratios(data, offsets)
             p = 1 / (1 + np.exp(-np.clip(features(data, offsets, ratio).astype(np.float64) @ model.weights, -30, 30)))
-            p[np.diff(offsets) == 0] = 0.0
+            p[count < 1] = 0.0
             post = [model.posterior.get(int(k), 0.5) for k in pattern(votes(ratio, count))]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(post, pa.float64()), pa.array(p), pa.array(p >= KEEP)], ["id", "posterior", "score", "keep"]
@@ -276,7 +277,8 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             data, offsets = utf8(batch.column(place))
             for a, b in slices(offsets):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                p = features(part, own, ratios(part, own)[0]).astype(np.float64) @ model.weights
-                yield batch.slice(a, b - a).filter(pa.array((p >= 0) & (np.diff(own) > 0)))
+                ratio, count = ratios(part, own)
+                p = features(part, own, ratio).astype(np.float64) @ model.weights
+                yield batch.slice(a, b - a).filter(pa.array((p >= 0) & (count > 0)))
 
     return docs.mapInArrow(run, schema)
