@@ -12,11 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparrowsql.functions.dialect import SqlError
+from sparrowsql.functions.dialect import SqlError, name_of, tokenize
 from sparrowsql.operators.constraints import Violation, all_null_safe, check_parents, check_rows, check_unique, clashes, keys_of
 from sparrowsql.sources.store import Store
 
 FILE, ROW = "__file", "__row"
+#: Where a row of a batch stands in it.
+ORDER = "__order"
 
 
 def with_identity(store: Store, db: str, name: str) -> DataFrame:
@@ -30,31 +32,35 @@ def _columns(table: dict) -> list[str]:
     return [c["name"] for c in table["columns"]]
 
 
-def _replace(store: Store, db: str, name: str, df: DataFrame) -> None:
-    """The rows of df become the table."""
+def _replace(store: Store, db: str, name: str, df: DataFrame, also: list[str] | None = None) -> None:
+    """The rows of df become the table; columns in also are written beside the table's own and not read as such."""
     table = store.database(db)["tables"][name]
-    segment = store.write(df.select(*_columns(table)), db, name)
+    segment = store.write(df.select(*_columns(table), *(also or [])), db, name)
     table["segments"] = [segment]
     table["rows"] = store.frame(db, name).count()
     store.touch(db, name)
 
 
+def carried(store: Store, db: str, name: str, columns: list[str]) -> DataFrame:
+    """Identity and __s_<column> of the rows that delete_rows has carried changes for."""
+    table = store.database(db)["tables"][name]
+    kinds = {c["name"].lower(): c["spark"] for c in table["columns"]}
+    schema = "__hit boolean, " + ", ".join(f"`__s_{c}` {kinds[c.lower()]}" for c in columns)
+    rows = store.spark.read.schema(schema).parquet(*[f"{store.root}/{s}" for s in table["segments"]])
+    return rows.where("__hit").select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW), *[f"__s_{c}" for c in columns])
+
+
 def dense_ids(df: DataFrame, start: int, column: str) -> DataFrame:
     """df with consecutive numbers from start where column is null; rows are counted by partition, not sorted into one."""
     marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     needed = F.col(column).isNull()
-    counts = {r["__p"]: r["n"] for r in marked.where(needed).groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    at, offsets = start, {}
-    for p in sorted(counts):
-        offsets[p] = at
-        at += counts[p]
-    if not offsets:
-        return df
-    base = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    counts = marked.where(needed).groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumnRenamed("__p", "__q").select("__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     place = F.row_number().over(Window.partitionBy("__p", needed).orderBy("__m"))
-    number = F.try_element_at(base, F.col("__p")) + place - 1
-    kind = df.schema[column].dataType
-    return marked.withColumn(column, F.coalesce(F.col(column), number.cast(kind))).drop("__p", "__m")
+    joined = marked.withColumn("__place", place).join(F.broadcast(counts), F.col("__p") == F.col("__q"), "left")
+    number = (F.col("__base") + F.col("__place") - 1 + start).cast(df.schema[column].dataType)
+    return joined.withColumn(column, F.coalesce(F.col(column), number)).select(*df.columns)
 
 
 def insert(
@@ -96,20 +102,20 @@ def insert(
         fresh = dense_ids(fresh, table["auto"], auto)
     existing = store.frame(db, name)
     check_rows(fresh, table, name)
-    if ignore:
-        for _, key in keys_of(table):
-            order = Window.partitionBy(*key).orderBy(F.lit(1))
-            fresh = fresh.withColumn("__n", F.when(all_null_safe(key), F.row_number().over(order)).otherwise(1)).where("__n = 1").drop("__n")
-        for _, key in keys_of(table):
-            other = existing.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)])
-            on = reduce(lambda a, b: a & b, [fresh[c] == F.col(f"__k{i}") for i, c in enumerate(key)])
-            fresh = fresh.join(other, on, "left_anti")
+    keys = keys_of(table)
+    if keys and (ignore or on_duplicate is not None):
+        ordered = store.spark.read.schema(batch.schema).parquet(f"{store.root}/{parked}")
+        ordered = ordered.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(ORDER))
+        if auto:  # numbers are given to the rows that have none, whether they stay or not
+            ordered = dense_ids(ordered, table["auto"], auto)
+        if on_duplicate is not None:
+            return _upsert(store, db, name, ordered, on_duplicate)
+        for _, key in keys:
+            ordered = ordered.join(_renamed(existing, key), _same(ordered, key), "left_anti")
+        fresh = _first_come(store, db, name, ordered, [key for _, key in keys])[0].drop(ORDER)
     else:
         check_unique(fresh, table, name)
-        clash = clashes(fresh, existing, table)
-        if on_duplicate is not None:
-            return _upsert(store, db, name, fresh, on_duplicate)
-        if not clash.isEmpty():
+        if not clashes(fresh, existing, table).isEmpty():
             raise Violation(f"{name}: duplicate value for a key")
     for fk in table["foreign_keys"]:
         pdb, parent = resolve_table(store, db, fk["ref_table"])
@@ -132,27 +138,106 @@ def insert(
     return added
 
 
-def _upsert(store: Store, db: str, name: str, fresh: DataFrame, sets: list[tuple[str, str]]) -> DataFrame:
-    """ON DUPLICATE KEY UPDATE: rows that meet an existing one update it, the others are added."""
+def _renamed(df: DataFrame, key: list[str], *more) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], *more)
+
+
+def _same(df: DataFrame, key: list[str]):
+    """Equal in all columns of a key; nulls never are."""
+    return reduce(lambda a, b: a & b, [df[c] == F.col(f"__k{i}") for i, c in enumerate(key)])
+
+
+def _parked(store: Store, db: str, name: str, df: DataFrame) -> DataFrame:
+    return store.spark.read.schema(df.schema).parquet(f"{store.root}/{store.write(df, db, name)}")
+
+
+def _first_come(store: Store, db: str, name: str, rows: DataFrame, keys: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a batch that go in if they come one by one in ORDER, and (ORDER, __by) of the others: the row that was there.
+
+    A row that is first for all of its keys goes in; the others that share a key
+    with it don't; what is left goes on. Keys that overlap seldom need a second
+    round. Firsts are found by folding minima, so a key on a third of all rows is
+    a row a task.
+    """
+    left = _parked(store, db, name, rows)
+    taken, beaten = [], []
+    while not left.isEmpty():
+        win = left
+        for key in keys:
+            known = left.where(all_null_safe(key))
+            best = known.groupBy(*key).agg(F.min(ORDER).alias("__first")).select("__first")
+            win = win.where(~all_null_safe(key)).unionByName(win.where(all_null_safe(key)).join(best, F.col(ORDER) == F.col("__first"), "left_semi"))
+        win = _parked(store, db, name, win)
+        taken.append(win)
+        lost = None
+        for i, key in enumerate(keys):
+            part = left.join(_renamed(win, key, F.col(ORDER).alias("__by")), _same(left, key)).where(F.col(ORDER) != F.col("__by"))
+            part = part.select(ORDER, F.lit(i).alias("__i"), "__by")
+            lost = part if lost is None else lost.union(part)
+        lost = lost.groupBy(ORDER).agg(F.min_by("__by", "__i").alias("__by"))
+        lost = _parked(store, db, name, lost)
+        beaten.append(lost)
+        done = win.select(ORDER).union(lost.select(ORDER)).withColumnRenamed(ORDER, "__o")
+        left = _parked(store, db, name, left.join(done, F.col(ORDER) == F.col("__o"), "left_anti"))
+    if not taken:
+        return left, left.select(ORDER, F.col(ORDER).alias("__by"))
+    return reduce(lambda a, b: a.unionByName(b), taken), reduce(lambda a, b: a.unionByName(b), beaten)
+
+
+def _times(table: dict, sets: list[tuple[str, str]], count: str, once: bool) -> list:
+    """__s_<column> after the assignments were made count times, each from the row as it was before."""
+    kinds = {c["name"].lower(): c["spark"] for c in table["columns"]}
+    _known(table, [c for c, _ in sets], "table")
+    if once:
+        return [F.expr(e).cast(kinds[c.lower()]).alias(f"__s_{c}") for c, e in sets]
+    names = {c.lower(): c for c, _ in sets}
+
+    def inside(expr: str) -> str:
+        """The expression with the assigned columns taken from the row so far."""
+        tokens = tokenize(expr)
+        out = []
+        for i, t in enumerate(tokens):
+            own = t.kind in ("word", "quoted") and name_of(t).lower() in names and not (i + 1 < len(tokens) and tokens[i + 1].text == "(")
+            out.append(f"acc.`{names[name_of(t).lower()]}`" if own else t.text)
+        return " ".join(out)
+
+    start = ", ".join(f"'{c}', CAST(`{c}` AS {kinds[c.lower()]})" for c in names.values())
+    made = {c.lower(): e for c, e in sets}
+    step = ", ".join(f"'{c}', CAST(({inside(made[low])}) AS {kinds[low]})" for low, c in names.items())
+    row = f"aggregate(sequence(1, CAST({count} AS INT)), named_struct({start}), (acc, i) -> named_struct({step}))"
+    return [F.expr(f"{row}.`{c}`").alias(f"__s_{c}") for c in names.values()]
+
+
+def _upsert(store: Store, db: str, name: str, batch: DataFrame, sets: list[tuple[str, str]]) -> DataFrame:
+    """ON DUPLICATE KEY UPDATE, as if the rows came one by one: each that meets a row updates it, whether that was there or came before."""
     table = store.database(db)["tables"][name]
-    numbered = fresh.withColumn("__f", F.xxhash64(*fresh.columns))
+    keys = [key for _, key in keys_of(table)]
+    batch = _parked(store, db, name, batch)
     rows = with_identity(store, db, name)
     met = None
-    for _, key in keys_of(table):
-        other = numbered.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], F.col("__f").alias("__hit"))
-        on = reduce(lambda a, b: a & b, [rows[c] == F.col(f"__k{i}") for i, c in enumerate(key)])
-        part = rows.join(other, on).select(FILE, ROW, "__hit")
+    for i, key in enumerate(keys):
+        part = rows.join(_renamed(batch, key, ORDER), _same(rows, key)).select(ORDER, F.lit(i).alias("__i"), FILE, ROW)
         met = part if met is None else met.union(part)
-    if met is None:
-        return insert(store, db, name, fresh, fresh.columns)
-    met = met.dropDuplicates([FILE, ROW])
-    parked = store.write(numbered.join(met.select("__hit").distinct(), F.col("__f") == F.col("__hit"), "left_anti").drop("__f"), db, name)
-    changed = rows.join(met.select(FILE, ROW), [FILE, ROW]).select(FILE, ROW, *[F.expr(e).alias(f"__s_{c}") for c, e in sets])
-    update_rows(store, db, name, changed, [c for c, _ in sets])
-    new = store.spark.read.schema(fresh.schema).parquet(f"{store.root}/{parked}")
-    out = insert(store, db, name, new, fresh.columns)
-    store.files.delete(parked)
-    return out
+    met = met.groupBy(ORDER).agg(F.min(F.struct("__i", FILE, ROW)).alias("m")).select(ORDER, f"m.{FILE}", f"m.{ROW}")
+    met = _parked(store, db, name, met)
+    fresh = batch.join(met.select(F.col(ORDER).alias("__o")), F.col(ORDER) == F.col("__o"), "left_anti")
+    added, beaten = _first_come(store, db, name, fresh, keys)
+    again = beaten.groupBy("__by").agg(F.count("*").alias("__n"))
+    many = again.agg(F.max("__n")).first()[0]
+    new = added
+    if many:
+        new = added.join(again, F.col(ORDER) == F.col("__by"), "left")
+        values = [F.when(F.col("__n").isNotNull(), v).otherwise(F.col(c)).alias(f"__s_{c}") for (c, _), v in zip(sets, _times(table, sets, "coalesce(__n, 1)", many == 1), strict=True)]
+        new = new.select("*", *values)
+        given = {c.lower() for c, _ in sets}
+        new = new.select(*[F.col(f"__s_{c}").alias(c) if c.lower() in given else F.col(c) for c in _columns(table)])
+    new = _parked(store, db, name, new.select(*_columns(table)))
+    hit = met.groupBy(FILE, ROW).agg(F.count("*").alias("__n"))
+    many = hit.agg(F.max("__n")).first()[0]
+    if many:
+        changed = rows.join(hit, [FILE, ROW])
+        update_rows(store, db, name, _parked(store, db, name, changed.select(FILE, ROW, *_times(table, sets, "__n", many == 1))), [c for c, _ in sets])
+    return insert(store, db, name, new, new.columns)
 
 
 def resolve_table(store: Store, db: str, name: str) -> tuple[str, str]:
@@ -289,8 +374,11 @@ def delete_where(store: Store, db: str, name: str, condition: str | None) -> int
     return before - table["rows"]
 
 
-def delete_rows(store: Store, db: str, name: str, gone: DataFrame) -> int:
-    """gone: identities; keys that point here restrict, cascade to any depth, or are set."""
+def delete_rows(store: Store, db: str, name: str, gone: DataFrame, carry: DataFrame | None = None) -> int:
+    """gone: identities; keys that point here restrict, cascade to any depth, or are set.
+
+    carry: identities and further columns, which are written beside the rows that stay, for carried().
+    """
     rows = with_identity(store, db, name)
     table = store.database(db)["tables"][name]
     hit = rows.join(gone.select(FILE, ROW).distinct(), [FILE, ROW], "left_semi")
@@ -301,7 +389,14 @@ def delete_rows(store: Store, db: str, name: str, gone: DataFrame) -> int:
         parked = store.write(hit.select(*wanted), db, name)
         keys = store.spark.read.schema(hit.select(*wanted).schema).parquet(f"{store.root}/{parked}")
     before = table["rows"]
-    _replace(store, db, name, rows.join(gone.select(FILE, ROW).distinct(), [FILE, ROW], "left_anti"))
+    stay = rows.join(gone.select(FILE, ROW).distinct(), [FILE, ROW], "left_anti")
+    also = []
+    if carry is not None:
+        if any((cdb, child) == (db, name) for cdb, child, _ in pointing):
+            raise SqlError(f"{name} points at itself: MERGE can't delete and update its rows at once")
+        also = ["__hit", *[c for c in carry.columns if c not in (FILE, ROW)]]
+        stay = stay.join(carry.dropDuplicates([FILE, ROW]).withColumn("__hit", F.lit(True)), [FILE, ROW], "left")
+    _replace(store, db, name, stay, also)
     count = before - table["rows"]
     if not count:
         return 0

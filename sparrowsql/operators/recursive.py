@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
-#: The reference's bound on rounds.
+#: The dialect's bound on rounds.
 MAX_ROUNDS = 1000
 
 
-def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], str], read: Callable[[list[str]], DataFrame]) -> DataFrame:
     """base and all rows that step makes from rows found before, each once.
 
-    keep writes a frame to storage and reads it back, so that plans don't grow.
+    write puts a frame into storage and read takes up some of what was written,
+    so that plans don't grow; rows found in earlier rounds are never written again.
     """
-    found = keep(base.distinct())
-    fresh = found
+    paths = [write(base.distinct())]
     for _ in range(MAX_ROUNDS):
-        made = step(fresh)
-        made = made.toDF(*base.columns).distinct()
-        fresh = keep(made.exceptAll(made.intersect(found)))
-        if fresh.isEmpty():
-            return found
-        found = keep(found.unionByName(fresh))
+        made = step(read(paths[-1:])).toDF(*base.columns).distinct()
+        found = read(paths).toDF(*[f"__{i}" for i in range(len(base.columns))])
+        known = reduce(lambda a, b: a & b, [made[c].eqNullSafe(found[f"__{i}"]) for i, c in enumerate(base.columns)])
+        paths.append(write(made.join(found, known, "left_anti")))
+        if read(paths[-1:]).isEmpty():
+            return read(paths)
     raise ValueError(f"a recursive query goes on after {MAX_ROUNDS} rounds")

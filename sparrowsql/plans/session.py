@@ -81,7 +81,7 @@ class Session:
 
     def rewriter(self, resolve: bool = True) -> Rewriter:
         functions = {n.upper(): (f["parameters"], tokenize(f["body"])) for db in self.store.catalog["databases"].values() for n, f in db["functions"].items()}
-        return Rewriter(self.variables, functions, self._resolve if resolve else None)
+        return Rewriter(self.variables, functions, self._resolve if resolve else None, self.db)
 
     def _view(self, key: str, df: DataFrame) -> str:
         name = f"{self._prefix}_{key}"
@@ -129,8 +129,15 @@ class Session:
     def query(self, tokens: list[Token]) -> DataFrame:
         if tokens and tokens[-1].text == ";":
             tokens = tokens[:-1]
+        locking = self.store.staged is not None and any(t.up == "FOR" and u.up in ("UPDATE", "SHARE") for t, u in zip(tokens, tokens[1:], strict=False))
+        if locking:  # no lock is held: a change of these tables by others makes this transaction's COMMIT fail
+            seen, self.store.seen = self.store.seen, set()
         recursive = self._distinct_recursion(tokens)
-        return recursive if recursive is not None else self.spark.sql(self.rewriter().tokens(tokens))
+        made = recursive if recursive is not None else self.spark.sql(self.rewriter().tokens(tokens))
+        if locking:
+            self.store.locked |= self.store.seen
+            self.store.seen |= seen
+        return made
 
     def _distinct_recursion(self, tokens: list[Token]) -> DataFrame | None:
         """WITH RECURSIVE a AS (base UNION step) main, which Spark's own recursion doesn't take."""
@@ -149,9 +156,11 @@ class Session:
         first = self.query(base)
         first = first.toDF(*columns) if columns else first
 
-        def keep(df: DataFrame) -> DataFrame:
-            segment = self.store.write(df, ".work", name)
-            return self.spark.read.schema(df.schema).parquet(f"{self.store.root}/{segment}")
+        def write(df: DataFrame) -> str:
+            return f"{self.store.root}/{self.store.write(df, '.work', name)}"
+
+        def read(paths: list[str]) -> DataFrame:
+            return self.spark.read.schema(first.schema).parquet(*paths)
 
         def next_rows(fresh: DataFrame) -> DataFrame:
             self._hidden[name.lower()] = self._view(f"work_{name.lower()}", fresh)
@@ -159,7 +168,7 @@ class Session:
             return made.select(*[F.col(f"`{a}`").cast(f.dataType).alias(f.name) for a, f in zip(made.columns, first.schema, strict=True)])
 
         try:
-            whole = fixpoint(first, next_rows, keep)
+            whole = fixpoint(first, next_rows, write, read)
             self._hidden[name.lower()] = self._view(f"work_{name.lower()}", whole)
             return self.query(c.rest())
         finally:
@@ -467,17 +476,11 @@ class Session:
             fresh = (self.spark.read.schema(made.schema).parquet(f"{self.store.root}/{parked}"), into)
         total = 0
         with self.store.change():
-            if columns:  # identities hold until the table is replaced, so updates and deletes are one step
-                total += matched.where("NOT __gone").count()
-                dead = matched.where("__gone").select(dml.FILE, dml.ROW)
-                keys = dml.with_identity(self.store, db, name).join(dead, [dml.FILE, dml.ROW], "left_semi")
-                ids = self.store.write(keys.select(*[x["name"] for x in self.store.database(db)["tables"][name]["columns"]]), db, name)
-                before = self.store.spark.read.schema(keys.drop(dml.FILE, dml.ROW).schema).parquet(f"{self.store.root}/{ids}")
-                dml.update_rows(self.store, db, name, matched.where("NOT __gone").drop("__gone"), columns)
-                if deletes:
-                    now = dml.with_identity(self.store, db, name)
-                    same = [now[x].eqNullSafe(before[x]) for x in before.columns]
-                    total += dml.delete_rows(self.store, db, name, now.join(before, same, "left_semi").select(dml.FILE, dml.ROW))
+            if columns and deletes:  # the rows that go, first; what the others become travels with them
+                total += dml.delete_rows(self.store, db, name, matched.where("__gone").select(dml.FILE, dml.ROW), matched.where("NOT __gone").drop("__gone"))
+                total += dml.update_rows(self.store, db, name, dml.carried(self.store, db, name, columns), columns)
+            elif columns:
+                total += dml.update_rows(self.store, db, name, matched.drop("__gone"), columns)
             elif deletes:
                 total += dml.delete_rows(self.store, db, name, matched.where("__gone").select(dml.FILE, dml.ROW))
             if fresh:

@@ -187,7 +187,7 @@ def test_users_and_vacuum(session):
     session.run("CREATE USER 'u'@'%' IDENTIFIED BY 'pw'; GRANT SELECT, UPDATE ON main.emp TO 'u'@'%'; REVOKE UPDATE ON main.emp FROM 'u'@'%'; CREATE ROLE r; GRANT ROLE r TO 'u'@'%';")
     assert [g for _, g in rows(session, "SHOW GRANTS FOR 'u'@'%'")] == ["GRANT ROLE r", "GRANT SELECT ON main.emp"]
     session.sql("UPDATE emp SET salary = 1")
-    assert session.sql("VACUUM").first()[0] > 0
+    assert session.sql("VACUUM RETAIN 0 HOURS").first()[0] > 0
     assert rows(session, "SELECT count(*) AS n FROM emp") == [(4,)]
 
 
@@ -205,3 +205,126 @@ def test_csv(session, tmp_path):
     (tmp_path / "in.csv").write_text('id,name,salary\n7,"a, ""b""",5\n8,c,x\n')
     assert admin.import_csv(session, f"file://{tmp_path}/in.csv", "emp") == (1, 1)
     assert rows(session, "SELECT name FROM emp WHERE id = 7") == [('a, "b"',)]
+
+
+def test_vacuum_keeps_what_others_hold(session, spark):
+    """An open transaction's rows, and versions that readers may hold, outlive VACUUM."""
+    other = Session(spark, session.store.root)
+    session.sql("BEGIN")
+    session.sql("INSERT INTO emp VALUES (60, 'Held', 1, NULL, NULL)")
+    frame = other.sql("SELECT count(*) AS n FROM emp")
+    other.sql("VACUUM RETAIN 0 HOURS")
+    session.sql("COMMIT")
+    assert rows(session, "SELECT name FROM emp WHERE id = 60") == [("Held",)]
+    session.sql("UPDATE emp SET salary = 1")
+    other.sql("VACUUM")  # within RETAIN hours old versions stay
+    assert frame.first()[0] == 4
+    assert other.sql("VACUUM RETAIN 0 HOURS").first()[0] > 0
+    assert rows(other, "SELECT count(*) AS n FROM emp") == [(5,)]
+    assert rows(Session(spark, session.store.root), "SELECT count(*) AS n FROM proj") == [(3,)]
+
+
+def test_repeatable_read_survives_vacuum(session, spark):
+    other = Session(spark, session.store.root)
+    session.sql("SET ISOLATION LEVEL REPEATABLE READ")
+    session.sql("BEGIN")
+    other.sql("UPDATE emp SET salary = 7")
+    other.sql("VACUUM RETAIN 0 HOURS")
+    assert rows(session, "SELECT CAST(salary AS INT) FROM emp") == [(70,), (80,), (90,), (120,)]
+    session.sql("ROLLBACK")
+
+
+def test_commit_keeps_every_kind_of_entry(session, spark):
+    other = Session(spark, session.store.root)
+    session.sql("BEGIN")
+    session.run(
+        "CREATE VIEW v AS SELECT id FROM emp; CREATE SYNONYM syn FOR emp; CREATE FUNCTION f(x) RETURNS INT RETURN x + 1; CREATE PROCEDURE p() BEGIN SELECT 1 AS one; END;"
+        "CREATE INDEX ix ON emp (name); CREATE USER u1; CREATE ROLE r1; GRANT ROLE r1 TO u1; CREATE DATABASE d2; CREATE TRIGGER tg AFTER DELETE ON emp FOR EACH ROW UPDATE dept SET budget = 0;"
+    )
+    other.run("CREATE TABLE t2 (a INT); CREATE VIEW w AS SELECT id FROM dept; CREATE USER u2; CREATE DATABASE d3; GRANT SELECT ON main.emp TO u2;")
+    session.sql("COMMIT")
+    for s in (session, other, Session(spark, session.store.root)):
+        assert rows(s, "SELECT count(*) AS n FROM v") == [(4,)] and rows(s, "SELECT count(*) AS n FROM w") == [(3,)]
+        assert rows(s, "SELECT f(id) AS x FROM syn WHERE id = 1") == [(2,)] and rows(s, "CALL p()") == [(1,)]
+        assert {r[0] for r in rows(s, "SHOW DATABASES")} >= {"d2", "d3"}
+        assert {r[0] for r in rows(s, "SHOW GRANTS")} == {"u1", "u2"} and [r[0] for r in rows(s, "SHOW TRIGGERS")] == ["tg"]
+        assert "ix" in {r[2] for r in rows(s, "SHOW INDEX FROM emp")}
+
+
+def test_entries_that_both_change_clash(session, spark):
+    other = Session(spark, session.store.root)
+    session.sql("BEGIN")
+    session.sql("CREATE VIEW v AS SELECT id FROM emp")
+    other.sql("CREATE VIEW v AS SELECT id FROM dept")
+    with pytest.raises(Conflict):
+        session.sql("COMMIT")
+    other.sql("CREATE DATABASE d")
+    session.sql("BEGIN")
+    session.sql("DROP DATABASE d")
+    other.run("USE d; CREATE TABLE t (a INT);")
+    with pytest.raises(Conflict):
+        session.sql("COMMIT")
+
+
+def test_savepoint_after_others_published(session, spark):
+    other = Session(spark, session.store.root)
+    session.run("BEGIN; UPDATE dept SET budget = 1; SAVEPOINT a;")
+    other.sql("DELETE FROM proj")
+    assert rows(session, "SELECT count(*) AS n FROM proj") == [(0,)]
+    session.run("ROLLBACK TO SAVEPOINT a; RELEASE SAVEPOINT a; COMMIT;")
+    assert rows(other, "SELECT count(*) AS n FROM proj") == [(0,)]
+    assert rows(other, "SELECT DISTINCT CAST(budget AS INT) FROM dept") == [(1,)]
+
+
+def test_rows_read_for_update_are_checked_at_commit(session, spark):
+    other = Session(spark, session.store.root)
+    for mode, clash in (("FOR UPDATE", True), ("FOR SHARE", True), ("", False)):
+        session.sql("BEGIN")
+        rows(session, f"SELECT salary FROM emp WHERE id = 1 {mode}")
+        session.sql("UPDATE dept SET budget = budget + 1")
+        other.sql("UPDATE emp SET salary = salary + 1 WHERE id = 1")
+        if clash:
+            with pytest.raises(Conflict):
+                session.sql("COMMIT")
+        else:
+            session.sql("COMMIT")
+    assert rows(other, "SELECT CAST(salary AS INT) FROM emp WHERE id = 1") == [(123,)]
+    assert rows(other, "SELECT CAST(budget AS INT) FROM dept WHERE code = 'A'") == [(101,)]
+
+
+def test_manifests_are_whole_or_not_there(session):
+    files = session.store.files
+    assert files.create("manifests/99999990.json", "{}") and not files.create("manifests/99999990.json", "other")
+    assert files.read("manifests/99999990.json") == "{}" and files.names("aside") == []
+
+
+def test_insert_ignore_with_two_keys(session):
+    session.run("CREATE TABLE k (id INT PRIMARY KEY, code VARCHAR(9) UNIQUE, v INT); INSERT INTO k VALUES (1, 'A', 0);")
+    session.sql("INSERT IGNORE INTO k VALUES (10, 'A', 1), (10, 'N', 2), (11, 'N', 3), (11, 'M', 4), (12, NULL, 5), (13, NULL, 6), (12, 'Z', 7)")
+    assert rows(session, "SELECT id, v FROM k") == [(1, 0), (10, 2), (11, 4), (12, 5), (13, 6)]
+
+
+def test_upsert_goes_row_by_row(session):
+    session.run("CREATE TABLE k (id INT PRIMARY KEY, code VARCHAR(9) UNIQUE, v INT); INSERT INTO k VALUES (1, 'A', 0), (2, 'B', 0);")
+    session.sql("INSERT INTO k VALUES (1, 'X', 9), (3, 'C', 5), (9, 'A', 9), (3, 'D', 9), (3, 'C', 9), (2, 'A', 9), (4, 'E', 1) ON DUPLICATE KEY UPDATE v = v * 2 + 1")
+    assert rows(session, "SELECT id, code, v FROM k") == [(1, "A", 3), (2, "B", 1), (3, "C", 23), (4, "E", 1)]
+
+
+def test_merge_deletes_and_updates_at_once(session):
+    """A row that takes the values a deleted row had stays."""
+    session.run("CREATE TABLE m (id INT, v INT); INSERT INTO m VALUES (1, 10), (2, 20); CREATE TABLE u (id INT, op VARCHAR(3), nid INT, nv INT); INSERT INTO u VALUES (1, 'del', 0, 0), (2, 'upd', 1, 10);")
+    session.sql("MERGE INTO m USING u ON m.id = u.id WHEN MATCHED AND u.op = 'del' THEN DELETE WHEN MATCHED THEN UPDATE SET id = u.nid, v = u.nv")
+    assert rows(session, "SELECT id, v FROM m") == [(1, 10)]
+
+
+def test_before_triggers_and_set_default(session):
+    session.run(
+        "CREATE TABLE log (n INT); INSERT INTO log VALUES (0);"
+        "CREATE TRIGGER b BEFORE UPDATE ON emp FOR EACH ROW UPDATE log SET n = (SELECT CAST(SUM(salary) AS INT) FROM emp);"
+        "CREATE TABLE par (id INT PRIMARY KEY); INSERT INTO par VALUES (1), (2);"
+        "CREATE TABLE kid (id INT PRIMARY KEY, p INT DEFAULT 2, FOREIGN KEY (p) REFERENCES par(id) ON DELETE SET DEFAULT ON UPDATE SET DEFAULT); INSERT INTO kid VALUES (1, 1), (2, 2);"
+    )
+    session.sql("UPDATE emp SET salary = 0")
+    assert rows(session, "SELECT n FROM log") == [(360,)]
+    session.sql("DELETE FROM par WHERE id = 1")
+    assert rows(session, "SELECT id, p FROM kid") == [(1, 2), (2, 2)]
