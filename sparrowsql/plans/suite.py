@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparrowsql.operators import ordered
 from sparrowsql.plans import flagship, statements
 from sparrowsql.sources.tables import query
 
@@ -33,17 +34,17 @@ QUERIES: dict[str, tuple[str, str]] = {
     "pred_null_logic": ("SELECT count(*) AS n FROM orders WHERE NOT (NULLIF(o_orderstatus, 'F') = 'O')", ""),
     "pred_not_like_between": ("SELECT n_nationkey FROM nation WHERE n_name NOT LIKE 'A%' AND n_nationkey NOT BETWEEN 5 AND 9", ""),
     # projection
-    "project_arithmetic": ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net FROM lineitem WHERE l_orderkey < 200", ""),
-    "project_comparison": ("SELECT o_orderkey, o_totalprice > 250000 AS big FROM orders WHERE o_orderkey < 500", "SELECT o_orderkey, CAST(o_totalprice > 250000 AS INT) AS big FROM orders WHERE o_orderkey < 500"),
+    "project_arithmetic": ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net FROM lineitem", ""),
+    "project_comparison": ("SELECT o_orderkey, o_totalprice > 250000 AS big FROM orders", "SELECT o_orderkey, CAST(o_totalprice > 250000 AS INT) AS big FROM orders"),
     "project_star_join": ("SELECT * FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", ""),
-    "case_when": ("SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS grade, IF(o_orderstatus = 'F', 'done', 'open') AS state FROM orders WHERE o_orderkey < 1000",
-                  "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS grade, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state FROM orders WHERE o_orderkey < 1000"),
+    "case_when": ("SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS grade, IF(o_orderstatus = 'F', 'done', 'open') AS state FROM orders",
+                  "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS grade, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state FROM orders"),
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", ""),
     # joins
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000", ""),
     "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey", ""),
     "join_right": ("SELECT o.o_orderkey, c.c_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 400000) o RIGHT OUTER JOIN customer c ON c.c_custkey = o.o_custkey", ""),
-    "join_full": ("SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 60) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 40 AND 90) c ON s.s_suppkey = c.c_custkey", ""),
+    "join_full": ("SELECT s.s_suppkey, c.c_custkey FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) s FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON s.s_suppkey = c.c_custkey", ""),
     "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", ""),
     "join_natural": ("SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b", ""),
     "join_using": ("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a LEFT JOIN (SELECT r_regionkey AS k, r_name FROM region WHERE r_regionkey > 1) b USING (k)", ""),
@@ -73,15 +74,15 @@ QUERIES: dict[str, tuple[str, str]] = {
     "agg_null_group": ("SELECT NULLIF(o_orderstatus, 'F') AS state, COUNT(*) AS n FROM orders GROUP BY NULLIF(o_orderstatus, 'F')", ""),
     "agg_order_by": ("SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey LIMIT 5", ""),
     # windows
-    "win_row_number": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_custkey < 200", ""),
+    "win_row_number": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders", ""),
     "win_rank_dense": ("SELECT p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part", ""),
-    "win_lag_lead": ("SELECT o_orderkey, LAG(o_totalprice, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, LEAD(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS later FROM orders WHERE o_custkey < 100", ""),
-    "win_first_last_nth": ("SELECT o_orderkey, FIRST_VALUE(o_totalprice) OVER w1 AS f, LAST_VALUE(o_totalprice) OVER w1 AS l, NTH_VALUE(o_totalprice, 2) OVER w1 AS s FROM orders WHERE o_custkey < 100 WINDOW w1 AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", ""),
-    "win_ntile": ("SELECT c_custkey, NTILE(7) OVER (ORDER BY c_acctbal, c_custkey) AS bucket FROM customer", ""),
+    "win_lag_lead": ("SELECT o_orderkey, LAG(o_totalprice, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, LEAD(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS later FROM orders", ""),
+    "win_first_last_nth": ("SELECT o_orderkey, FIRST_VALUE(o_totalprice) OVER w1 AS f, LAST_VALUE(o_totalprice) OVER w1 AS l, NTH_VALUE(o_totalprice, 2) OVER w1 AS s FROM orders WINDOW w1 AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", ""),
+    "win_ntile": ("SELECT c_custkey, NTILE(7) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS bucket FROM customer", ""),
     "win_percent_cume": ("SELECT s_suppkey, ROUND(PERCENT_RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS pr, ROUND(CUME_DIST() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS cd FROM supplier", ""),
-    "win_running_sum": ("SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM orders WHERE o_orderkey < 2000",
-                        "SELECT o_orderkey, CAST(SUM(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM orders WHERE o_orderkey < 2000"),
-    "win_moving_avg": ("SELECT o_orderkey, ROUND(AVG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 3) AS mean FROM orders WHERE o_custkey < 200", ""),
+    "win_running_sum": ("SELECT o_orderkey, SUM(FLOOR(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM orders",
+                        "SELECT o_orderkey, CAST(SUM(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM orders"),
+    "win_moving_avg": ("SELECT o_orderkey, ROUND(AVG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 3) AS mean FROM orders", ""),
     "win_partition_total": ("SELECT n_nationkey, COUNT(*) OVER (PARTITION BY n_regionkey) AS n, MAX(n_name) OVER (PARTITION BY n_regionkey) AS top, MIN(n_nationkey) OVER (PARTITION BY n_regionkey) AS low FROM nation", ""),
     "win_range_peers": ("SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS upto FROM part", ""),
     # order, limit, sets
@@ -97,6 +98,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     "except_distinct": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier", ""),
     "except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", ""),
     "set_order_limit": ("SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier ORDER BY k DESC LIMIT 12 OFFSET 3", ""),
+    "set_chained": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1", ""),
+    "set_chained_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier UNION ALL SELECT r_regionkey FROM region ORDER BY k LIMIT 40", ""),
     # CTEs, derived tables, subqueries
     "cte_simple": ("WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000) SELECT c_name, o_totalprice FROM big JOIN customer ON o_custkey = c_custkey", ""),
     "cte_multi": ("WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT c_custkey, c_mktsegment FROM customer) SELECT b.c_mktsegment, SUM(a.n) AS n FROM b LEFT JOIN a ON a.o_custkey = b.c_custkey GROUP BY b.c_mktsegment",
@@ -121,10 +124,10 @@ QUERIES: dict[str, tuple[str, str]] = {
                 "SELECT p_partkey, ROUND(p_retailprice / 7, 2) AS r, ABS(-p_size) AS a, CAST(CEIL(p_retailprice) AS BIGINT) AS c, CAST(FLOOR(p_retailprice) AS BIGINT) AS f, p_size % 7 AS m, ROUND(SQRT(p_size), 6) AS s, POW(p_size, 2) AS p, ROUND(LN(p_size), 6) AS ln, ROUND(LOG(3, p_size), 6) AS l3, ROUND(LOG2(p_size), 6) AS l2, ROUND(LOG10(p_size), 6) AS l10, ROUND(EXP(p_size / 50), 6) AS e, ROUND(SIN(p_size), 6) AS si, ROUND(PI(), 6) AS pi, sign(p_retailprice) * floor(abs(p_retailprice) * pow(10, 1)) / pow(10, 1) AS t, GREATEST(p_size, 25) AS g, LEAST(p_size, 25) AS le FROM part"),
     "fn_math_more": ("SELECT MOD(17, 0) AS m0, 1 / 0 AS d0, SIGN(-3) AS s, ROUND(COS(1), 6) AS c, ROUND(TAN(1), 6) AS t, ROUND(-2.5, 0) AS r, ROUND(1234.567, 1) AS r1",
                      "SELECT CAST(NULL AS INT) AS m0, CAST(NULL AS DOUBLE) AS d0, CAST(sign(-3) AS DOUBLE) AS s, ROUND(COS(1), 6) AS c, ROUND(TAN(1), 6) AS t, ROUND(-2.5, 0) AS r, ROUND(1234.567, 1) AS r1"),
-    "fn_date_parts": ("SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dw, DAYOFYEAR(o_orderdate) AS dy, WEEKDAY(o_orderdate) AS wd, HOUR(o_orderdate) AS h, LAST_DAY(o_orderdate) AS ld, DATE_FORMAT(o_orderdate, '%Y/%m-%d') AS f FROM orders WHERE o_orderkey < 2000",
-                      "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dw, CAST(dayofyear(o_orderdate) AS INT) AS dy, CAST(isodow(o_orderdate) - 1 AS INT) AS wd, CAST(hour(o_orderdate) AS INT) AS h, CAST(last_day(o_orderdate) AS DATE) AS ld, strftime(o_orderdate, '%Y/%m-%d') AS f FROM orders WHERE o_orderkey < 2000"),
-    "fn_date_arith": ("SELECT o_orderkey, DATEDIFF('1999-01-01', o_orderdate) AS days, DATE_ADD(CAST(o_orderdate AS DATE), INTERVAL 1 MONTH) AS later, DATE_SUB(CAST(o_orderdate AS DATE), INTERVAL 2 YEAR) AS earlier, DATE_ADD(CAST(o_orderdate AS DATE), INTERVAL 10 DAY) AS ten, TIMESTAMPDIFF(MONTH, o_orderdate, '1999-01-01') AS months, TIMESTAMPDIFF(YEAR, o_orderdate, '1999-01-01') AS years, UNIX_TIMESTAMP(o_orderdate) AS u FROM orders WHERE o_orderkey < 2000",
-                      "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INT) AS days, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 YEAR AS DATE) AS earlier, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS ten, CAST(date_diff('month', o_orderdate, TIMESTAMP '1999-01-01') AS INT) AS months, date_sub('year', o_orderdate, TIMESTAMP '1999-01-01') AS years, CAST(epoch(o_orderdate) AS BIGINT) AS u FROM orders WHERE o_orderkey < 2000"),
+    "fn_date_parts": ("SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dw, DAYOFYEAR(o_orderdate) AS dy, WEEKDAY(o_orderdate) AS wd, HOUR(o_orderdate) AS h, LAST_DAY(o_orderdate) AS ld, DATE_FORMAT(o_orderdate, '%Y/%m-%d') AS f FROM orders",
+                      "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dw, CAST(dayofyear(o_orderdate) AS INT) AS dy, CAST(isodow(o_orderdate) - 1 AS INT) AS wd, CAST(hour(o_orderdate) AS INT) AS h, CAST(last_day(o_orderdate) AS DATE) AS ld, strftime(o_orderdate, '%Y/%m-%d') AS f FROM orders"),
+    "fn_date_arith": ("SELECT o_orderkey, DATEDIFF('1999-01-01', o_orderdate) AS days, DATE_ADD(CAST(o_orderdate AS DATE), INTERVAL 1 MONTH) AS later, DATE_SUB(CAST(o_orderdate AS DATE), INTERVAL 2 YEAR) AS earlier, DATE_ADD(CAST(o_orderdate AS DATE), INTERVAL 10 DAY) AS ten, TIMESTAMPDIFF(MONTH, o_orderdate, '1999-01-01') AS months, TIMESTAMPDIFF(YEAR, o_orderdate, '1999-01-01') AS years, UNIX_TIMESTAMP(o_orderdate) AS u FROM orders",
+                      "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INT) AS days, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 YEAR AS DATE) AS earlier, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS ten, CAST(date_diff('month', o_orderdate, TIMESTAMP '1999-01-01') AS INT) AS months, date_sub('year', o_orderdate, TIMESTAMP '1999-01-01') AS years, CAST(epoch(o_orderdate) AS BIGINT) AS u FROM orders"),
     "fn_null": ("SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 1), -1) AS c, IFNULL(NULLIF(n_regionkey, 2), -2) AS i, NULLIF(n_name, 'CHINA') AS n, ISNULL(NULLIF(n_regionkey, 3)) AS z FROM nation",
                 "SELECT n_nationkey, COALESCE(NULLIF(n_regionkey, 1), -1) AS c, COALESCE(NULLIF(n_regionkey, 2), -2) AS i, NULLIF(n_name, 'CHINA') AS n, CAST(NULLIF(n_regionkey, 3) IS NULL AS INT) AS z FROM nation"),
     "fn_cast": ("SELECT CAST('12' AS INT) AS i, CAST('x' AS INT) AS bad, CAST('1.5' AS DOUBLE) AS d, CONVERT('7', SIGNED) AS s, CAST('2024-02-03' AS DATE) AS dt, CAST(12.345 AS DECIMAL(6,2)) AS de, CAST(1 AS BOOLEAN) AS b, CAST(5 AS TEXT) AS t",
@@ -132,11 +135,17 @@ QUERIES: dict[str, tuple[str, str]] = {
     "fn_json": ("SELECT event_id, props->>'$.k' AS k, JSON_VALUE(props, '$.k') AS v, props->'$.k' AS raw, JSON_UNQUOTE(JSON_EXTRACT(props, '$.k')) AS u FROM events",
                 "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS v, CAST(json_extract(props, '$.k') AS VARCHAR) AS raw, json_extract_string(props, '$.k') AS u FROM events"),
     "fn_json_extract": ("""SELECT JSON_EXTRACT('{"s":"x","a":[1,2],"o":{"p":true}}', '$.s') AS s, JSON_EXTRACT('{"a":[1,2]}', '$.a[1]') AS n, JSON_EXTRACT('{"o":{"p":true}}', '$.o.p') AS b, JSON_EXTRACT('{"o":1}', '$.zz') AS z""",
-                        """SELECT CAST(json_extract('{"s":"x"}', '$.s') AS VARCHAR) AS s, '2' AS n, 'true' AS b, CAST(NULL AS VARCHAR) AS z"""),
+                        """SELECT CAST(json_extract('{"s":"x","a":[1,2],"o":{"p":true}}', '$.s') AS VARCHAR) AS s, CAST(json_extract('{"a":[1,2]}', '$.a[1]') AS VARCHAR) AS n, CAST(json_extract('{"o":{"p":true}}', '$.o.p') AS VARCHAR) AS b, CAST(json_extract('{"o":1}', '$.zz') AS VARCHAR) AS z"""),
     "fn_hash_hex": ("SELECT n_nationkey, MD5(n_name) AS m, HEX(n_nationkey) AS h, HEX(n_name) AS hn, UNHEX('616263') AS u, CHAR(72, 105) AS c, FORMAT(n_nationkey * 1234.5, 2) AS f FROM nation",
                     "SELECT n_nationkey, md5(n_name) AS m, to_hex(n_nationkey) AS h, hex(n_name) AS hn, 'abc' AS u, 'Hi' AS c, format('{:,.2f}', n_nationkey * 1234.5::DOUBLE) AS f FROM nation"),
-    "fn_conditional": ("SELECT o_orderkey, IF(o_totalprice > 200000, 'Senior', 'Standard') AS level, GREATEST(1, 5, 3) AS g, LEAST(4, 2, 9) AS l FROM orders WHERE o_orderkey < 300",
-                       "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'Senior' ELSE 'Standard' END AS level, GREATEST(1, 5, 3) AS g, LEAST(4, 2, 9) AS l FROM orders WHERE o_orderkey < 300"),
+    "fn_conditional": ("SELECT o_orderkey, IF(o_totalprice > 200000, 'above', 'below') AS side, GREATEST(1, 5, 3) AS g, LEAST(4, 2, 9) AS l FROM orders",
+                       "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'above' ELSE 'below' END AS side, GREATEST(1, 5, 3) AS g, LEAST(4, 2, 9) AS l FROM orders"),
+    "fn_time_parts": ("SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, FROM_UNIXTIME(UNIX_TIMESTAMP(ts)) AS u FROM events",
+                      "SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(second(ts) AS INT) AS s, strftime(ts, '%Y-%m-%d %H:%M:%S') AS u FROM events"),
+    "fn_session_info": ("SELECT DATABASE() AS d, SCHEMA() AS s, USER() AS u, CURRENT_USER() AS c, SESSION_USER() AS e, SYSTEM_USER() AS y, LENGTH(VERSION()) > 0 AS v",
+                        "SELECT 'main' AS d, 'main' AS s, 'root@localhost' AS u, 'root@localhost' AS c, 'root@localhost' AS e, 'root@localhost' AS y, 1 AS v"),
+    "fn_clock": ("SELECT LENGTH(CURTIME()) AS n, LENGTH(CURRENT_TIME) AS c, CURRENT_TIMESTAMP <= LOCALTIME AS t, DATEDIFF(CURRENT_DATE, CURDATE()) AS d, FROM_UNIXTIME(86400) AS u", "SELECT 8 AS n, 8 AS c, 1 AS t, 0 AS d, '1970-01-02 00:00:00' AS u"),
+    "fn_regexp_substr": ("SELECT c_custkey, REGEXP_SUBSTR(c_name, '[1-9][0-9]*') AS m FROM customer", "SELECT c_custkey, nullif(regexp_extract(c_name, '[1-9][0-9]*'), '') AS m FROM customer"),
     "fn_session": ("SELECT RAND() >= 0 AS r, LENGTH(UUID()) AS n, YEAR(NOW()) > 2000 AS y, DATEDIFF(CURDATE(), CURDATE()) AS d", "SELECT 1 AS r, 36 AS n, 1 AS y, 0 AS d"),
     # analytics shapes
     "revenue_by_year": ("SELECT YEAR(o_orderdate) AS y, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY YEAR(o_orderdate)",
@@ -149,13 +158,19 @@ def _plain(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(spark, sf_dir, sql)
 
 
+def ntile_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NTILE over a whole table in one order."""
+    return ordered.ntile(query(spark, sf_dir, "SELECT c_custkey, c_acctbal FROM customer"), ["c_acctbal", "c_custkey"], 7).select("c_custkey", "bucket")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {"revenue_by_segment": flagship.run}
-    found |= {name: _plain(sql) for name, (sql, _) in QUERIES.items()}
+    found |= {name: _plain(sql) for name, (sql, _) in QUERIES.items()} | {"win_ntile_global": ntile_global}
     return found | statements.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     found = {"revenue_by_segment": flagship.SQL}
     found |= {name: twin or sql for name, (sql, twin) in QUERIES.items()}
+    found["win_ntile_global"] = "SELECT c_custkey, NTILE(7) OVER (ORDER BY c_acctbal, c_custkey) AS bucket FROM customer"
     return found | statements.oracle_sql()

@@ -10,6 +10,10 @@ if TYPE_CHECKING:
     from sparrowsql.plans.session import Session
 
 
+#: Rows of one INSERT at most.
+ROWS = 1_000
+
+
 def create_table(name: str, table: dict) -> str:
     lines = []
     for c in table["columns"]:
@@ -38,7 +42,7 @@ def _parents_first(tables: dict) -> list[str]:
 
 
 def backup(session: Session, db: str, path: str) -> None:
-    """Write the statements as text files under path: one folder for the definitions, one for each table's rows.
+    """Write the statements as text files under path: folders for the definitions before and after the rows, one for each table's rows.
 
     INSERT lines are made by the executors, so a table of any size is dumped in parallel.
     """
@@ -46,7 +50,16 @@ def backup(session: Session, db: str, path: str) -> None:
     target = path if "/" in path else f"{session.store.root}/backups/{path}"
     order = _parents_first(database["tables"])
     heads = [f"DROP TABLE IF EXISTS {t};" for t in reversed(order)] + [create_table(t, database["tables"][t]) + ";" for t in order]
+    for kind in ("synonyms", "functions", "procedures"):
+        heads += [f"DROP {kind[:-1].upper()} IF EXISTS {n};" for n in database[kind]]
+    heads += [f"CREATE FUNCTION {n}({', '.join(f['parameters'])}) RETURNS TEXT RETURN {f['body']};" for n, f in database["functions"].items()]
     heads += [f"CREATE OR REPLACE VIEW {v} AS {x['sql']};" for v, x in database["views"].items()]
+    heads += [f"CREATE SYNONYM {n} FOR {target};" for n, target in database["synonyms"].items()]
+    heads += [f"CREATE PROCEDURE {n}({', '.join(f'IN {p} TEXT' for p in x['parameters'])}) {x['body']};" for n, x in database["procedures"].items()]
+    # After the rows: triggers don't run for them.
+    tails = [f"DROP INDEX IF EXISTS {n};\nCREATE INDEX {n} ON {x['table']} ({', '.join(x['columns'])}){' USING HASH' * (x['kind'] == 'HASH')};" for n, x in database["indexes"].items()]
+    tails += [f"DROP TRIGGER IF EXISTS {n};\nCREATE TRIGGER {n} {x['moment']} {x['event']} ON {x['table']} FOR EACH ROW {x['body']};" for n, x in database["triggers"].items()]
+    session.frame_of([("\n".join(tails),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/2-definitions")
     session.frame_of([("\n".join(heads),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/0-definitions")
     for i, name in enumerate(order):
         df = session.store.frame(db, name)
@@ -58,6 +71,8 @@ def backup(session: Session, db: str, path: str) -> None:
             )
             for f in df.schema
         ]
-        columns = ", ".join(df.columns)
-        line = F.concat(F.lit(f"INSERT INTO {name} ({columns}) VALUES ("), F.concat_ws(", ", *parts), F.lit(");"))
-        df.select(line.alias("value")).write.mode("overwrite").text(f"{target}/1-rows-{i:04d}-{name}")
+        row = F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
+        place = F.monotonically_increasing_id()
+        lines = df.select(row.alias("row"), F.floor(place / ROWS).alias("line")).groupBy("line").agg(F.array_join(F.collect_list("row"), ", ").alias("rows"))
+        head = F.lit(f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ")
+        lines.select(F.concat(head, "rows", F.lit(";")).alias("value")).write.mode("overwrite").text(f"{target}/1-rows-{i:04d}-{name}")
