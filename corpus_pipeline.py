@@ -11,14 +11,13 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrowsql.llm import bpe, decontam, exact_dedup, jaccard, quality
-from sparrowsql.llm.common import shared_dir, table
+from sparrowsql.llm.common import scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/sparrow/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
