@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from sparrowsql.llm import secret_scan
 from sparrowsql.llm.common import table
@@ -50,3 +52,31 @@ def test_ownership_tells_copies_from_live(spark):
     got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got[0].n_live == 0 and got[0].n_shared == 1
     assert got[9].n_live == 1 and got[9].n_shared == 0
+
+
+def test_random_texts(spark):
+    rng = random.Random(5)
+    parts = ["token", "SECRET", "api_key", "apikey", "AKIA", "eyJ", "=", ":", " ", "'", '"', "abcdef0123", "0f", "A1B2C3D4E5F6G7", ".", "é", "\n", "x"]
+    rows = [(i, "s", "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(3_000)]
+    assert any(r.n_assign and r.n_access and r.n_hex for r in check(spark.createDataFrame(rows, "doc_id long, source string, text string")))
+
+
+def test_time_grows_with_the_text(spark):
+    """Texts that make a pattern start over and over: a megabyte takes no longer than ten times a tenth of it."""
+    hard = ["eyJ", "eyJ.", "Bearer ", "token ", "secret: ", "-----BEGIN A ", "AKIA ", "gh", "0123456789abcde ", "xoxa-"]
+    took = {}
+    for size in (100_000, 100_000, 1_000_000):  # the first warms up
+        rows = [(i, "s", h * (size // len(h))) for i, h in enumerate(hard)]
+        frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(1)
+        began = time.perf_counter()
+        found = check(frame)
+        took[size] = time.perf_counter() - began
+        assert len(found) == len(hard)
+    assert took[1_000_000] < 12 * took[100_000] + 5
+
+
+def test_no_value_is_written(spark):
+    docs = spark.createDataFrame([(1, "s", "password=Abcdef123456xyz9 here")], "doc_id long, source string, text string")
+    found = secret_scan.spans(docs)
+    assert "Abcdef" not in repr(found.collect()) and found.columns[-2:] == ["value_hash", "varied"]
+    assert "Abcdef" not in repr(secret_scan.scan(docs).collect())
