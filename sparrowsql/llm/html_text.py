@@ -12,8 +12,9 @@ padded to their column's width and set apart by " | ". Preformatted text keeps
 its white space. Style sheets count as on a screen of unknown size: blocks for
 other media, for sizes and for other conditions hide nothing.
 
-Null and empty pages give the empty text. Nothing recurses, so deep nesting is
-safe; broken markup gives some text and never an error. Repeated rows give
+Null and empty pages give the empty text. Nothing recurses and no step walks the
+open elements, so time and text grow in proportion to the page, however deep it
+is nested; broken markup gives some text and never an error. Repeated rows give
 repeated results; columns of other names don't matter.
 """
 
@@ -60,14 +61,20 @@ IMPLIED = {
 }
 SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "template", "details"}
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|url\([^)"']*\)|[{};]""", re.S)
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
+#: Layout stops growing here, so that a page's text is in proportion to the page: columns of indent, columns that a
+#: table's cells are padded to, columns that a cell spans, tables in tables that are laid out as tables. All text is emitted.
+MAX_INDENT, MAX_WIDTH, MAX_SPAN, MAX_TABLES = 40, 120, 100, 8
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "inside")
 
@@ -76,10 +83,32 @@ class Node:
         self.inside = ""  # svg or math
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that the innermost of some tags is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from a place up."""
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+
+    def innermost(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
 def build(page: str) -> Node:
     """The tree of a page; children are nodes and texts."""
     root = Node("#root", {})
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
@@ -88,15 +117,11 @@ def build(page: str) -> Node:
 
     def close(tags: set[str], limit: set[str]) -> None:
         """Close down to the lowest open element of these tags that stands above no limit."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                low = i
-                while low - 1 > 0 and stack[low - 1].tag in tags:
-                    low -= 1
-                del stack[low:]
-                return
-            if stack[i].tag in limit:
-                return
+        low = opened.innermost(tags)
+        if low > opened.innermost(limit):
+            while low > 1 and stack[low - 1].tag in tags:
+                low -= 1
+            opened.cut(low)
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -110,46 +135,40 @@ def build(page: str) -> Node:
             tag = closing.lower()
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not opened.innermost(("p",)):
                 stack[-1].children.append(Node("p", {}))
             else:
                 barrier = {"table", "td", "th"} if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "html", "body") else {"table"} - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag or tag in HEADINGS and stack[i].tag in HEADINGS:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in barrier:
-                        break
+                low = opened.innermost(HEADINGS if tag in HEADINGS else (tag,))
+                if low and low >= opened.innermost(barrier):
+                    opened.cut(low)
         elif opening:
             tag = opening.lower()
             attrs = {}
             for name, a, b, c in _ATTRIBUTE.findall(found[3]):
                 attrs.setdefault(name.lower(), entities.unescape(a or b or c))
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            if tag in ("html", "body") and opened.innermost((tag,)):
                 continue
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in SCOPE:
-                        break
+                low = opened.innermost(("p",))
+                if low > opened.innermost(SCOPE):
+                    opened.cut(low)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                opened.cut(len(stack) - 1)
             if tag not in HIDDEN and stack[-1].tag == "head" and tag not in ("base", "noscript", "basefont", "bgsound"):
-                stack.pop()  # the body starts without its tag
+                opened.cut(len(stack) - 1)  # the body starts without its tag
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             node, above = Node(tag, attrs), stack[-1]
             node.inside = above.tag if above.tag in UNDRAWN else "" if above.tag == "foreignobject" else above.inside
             above.children.append(node)
             if tag in RAW:
-                stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+                stop = _END[tag].search(page, at)
                 raw = page[at : stop.start() if stop else end]
                 node.children.append(entities.unescape(raw) if tag in ("textarea", "title") else raw)
                 at = stop.end() if stop else end
             elif tag not in VOID and not found[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
-                stack.append(node)
+                opened.push(node)
     return root
 
 
@@ -280,9 +299,10 @@ class Flow:
             if self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            lead = " " * self.indent
+            indent = min(self.indent, MAX_INDENT)
+            lead = " " * indent
             if self.mark:
-                lead, self.mark = " " * max(0, self.indent - len(self.mark)) + self.mark, ""
+                lead, self.mark = " " * max(0, indent - len(self.mark)) + self.mark, ""
             self.lines.append((lead + said).rstrip())
 
     def spaced(self) -> None:
@@ -313,20 +333,19 @@ class Table:
         self.span = 1
 
     def lines(self) -> list[str]:
-        widths: list[int] = []
+        widths: dict[int, int] = {}
         for row in self.rows:
             at = 0
             for said, span in row:
-                widths += [0] * (at + 1 - len(widths))
                 if span == 1:
-                    widths[at] = max(widths[at], width(said))
+                    widths[at] = max(widths.get(at, 0), min(width(said), MAX_WIDTH))
                 at += span
         out = []
         for row in self.rows:
             at, parts = 0, []
             for i, (said, span) in enumerate(row):
-                room = sum(widths[at : at + span]) + 3 * (span - 1)
-                parts.append(said + " " * max(0, room - width(said)) if i + 1 < len(row) else said)
+                room = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
+                parts.append(said + " " * max(0, min(room, MAX_WIDTH) - width(said)) if i + 1 < len(row) else said)
                 at += span
             if any(said for said, _ in row):
                 out.append(" | ".join(parts).rstrip())
@@ -340,6 +359,7 @@ def render(page: str) -> str:
     flow = Flow()
     lists: list[list] = []  # [ordered, next number]
     tables: list[Table] = []
+    flat = 0  # open tables beyond MAX_TABLES: their cells are blocks
     pre = 0
     todo: list[tuple[object, bool]] = [(root, False)]
     closed = 0  # inside closed details: only the summary shows
@@ -368,7 +388,12 @@ def render(page: str) -> str:
                 flow.spaced()
             elif label or tag in BLOCK and tag != "table":
                 flow.end()
-            if tag == "table":
+            if tag == "table" and (flat or len(tables) >= MAX_TABLES):
+                flow.end()
+                flat += 1
+            elif flat and tag in ("tr", "td", "th", "caption"):
+                flow.end()
+            elif tag == "table":
                 if tables and tables[-1].cell is not None:
                     flow.end()
                 else:
@@ -380,7 +405,7 @@ def render(page: str) -> str:
             elif tag in ("td", "th") and tables:
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                tables[-1].cell, tables[-1].span = flow, max(1, min(1000, _number(item.attrs.get("colspan"), 1)))
+                tables[-1].cell, tables[-1].span = flow, max(1, min(MAX_SPAN, _number(item.attrs.get("colspan"), 1)))
                 flow = Flow()
             elif tag == "caption" and tables:
                 tables[-1].cell = flow
@@ -409,7 +434,10 @@ def render(page: str) -> str:
             todo.append((item, True))
             todo += [(c, False) for c in reversed(item.children)]
             continue
-        if tag in ("td", "th") and tables and tables[-1].cell is not None:
+        if flat and tag in ("table", "tr", "td", "th", "caption"):
+            flow.end()
+            flat -= tag == "table"
+        elif tag in ("td", "th") and tables and tables[-1].cell is not None:
             flow.end()
             tables[-1].rows[-1].append((" ".join(x.strip() for x in flow.lines if x.strip()), tables[-1].span))
             flow, tables[-1].cell = tables[-1].cell, None

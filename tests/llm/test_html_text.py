@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -100,3 +101,33 @@ DRAWN = [
 @pytest.mark.parametrize(("page", "text"), DRAWN)
 def test_drawings_and_formulas(page, text):
     assert html_text.render(page) == text
+
+
+HARD = [
+    "<div>", "<p><button><div>", "<ul><li>", "<ol><li>x", "<table><tr><td>", "<table><tr><td>x", "<span><li>", "<p><b>", "</p>", "</div>", "<h1>", "<dl><dd>",
+    "<a ", "<a b='", '<a b="x', "<!--", "<![CDATA[", "<td colspan=1000>x", "<tr><td>a<td>b", "&amp;", "<blockquote>q", "<details><summary>s", "<svg><text>t", "<style>a{", "<option>",
+]
+
+
+@pytest.mark.parametrize("part", HARD)
+def test_time_and_text_grow_with_the_page(part):
+    took, size = {}, {}
+    for n in (4_000, 4_000, 40_000):
+        page = (part * (n // len(part) + 1)) * 4 + "'\"" + "x" * n + "<td>" * 3 + "y"
+        began = time.perf_counter()
+        size[n] = len(html_text.render(page))
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 30 * took[4_000] + 0.3
+    assert size[40_000] < 12 * size[4_000] + 1_000
+
+
+def test_layout_bounds_drop_no_text():
+    assert html_text.render("<ul><li>" * 100 + "deep").split()[-1] == "deep"
+    long = "w" * 500
+    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>c<td>d</table>") == f"{long} | b\nc{' ' * 119} | d"
+    assert html_text.render("<table><tr><td>" * 12 + "in" + "<td>side</table>" * 12).count("side") == 12
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    assert html_text.render("<p class=it's>a</p><p it's>b</p>") == "a\n\nb"
+    assert html_text.render("a<p title='x > y'>b<p title=\"it's\">c") == "a\n\nb\n\nc"
