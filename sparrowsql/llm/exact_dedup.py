@@ -3,29 +3,37 @@
 Rows are grouped by (128-bit hash, text). The hash spreads and the text in the
 key compares the bytes, so two texts that collide form two groups. Partial
 aggregation folds copies inside each input split, so a group that holds a third
-of all rows reaches the shuffle as one row per task. The rows then find their
-group by the hash alone, without their texts; only for hashes that hold several
-texts (none in practice) are the texts joined.
+of all rows reaches the shuffle as one row per task.
+
+groups() tells every row its group: rows find it by the hash alone, without
+their texts; only for hashes that hold several texts (none in practice) are the
+texts joined. dedup() needs one shuffle: the aggregation itself carries the row
+that stays.
 
 Nulls count as the empty text. Rows repeated with one id and one text are
-members like any other; exactly one of them is marked as kept. A null id never
-wins over an id that isn't null. An empty table gives an empty result. Working
-columns have names of their own, so columns of the input with any other name
-pass through dedup() untouched.
+members like any other; exactly one of them is marked as kept, and of such rows
+dedup() keeps the one whose other columns are largest (of those that can be
+compared). A null id never wins over an id that isn't null. An empty table gives
+an empty result. Input columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowsql.llm.common import materialize, text_or_empty
 
 
+def content_hash(text: Column) -> Column:
+    """128 bits of the text's bytes."""
+    return F.unhex(F.md5(text))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.unhex(F.md5("text")))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", content_hash(F.col("text")))
     best = {"max": F.max, "min": F.min}[keep]("id").alias("keep_id")
     by_text = rows.groupBy("h", "text").agg(best, F.count("*").alias("group_size"))
     found = materialize(by_text.select("h", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"), "exact")
@@ -46,10 +54,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows that stay, with all their columns; of rows with one id and text, one stays."""
-    marks = groups(docs, id_col, text_col, keep).where("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")
-    )
-    sha = F.sha2(text_or_empty(text_col), 256)
-    kept = docs.join(marks, docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    """The rows that stay, with all their columns: one for each text."""
+    known = F.col(id_col).isNotNull() if keep == "max" else F.col(id_col).isNull()
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "struct", "array", "variant") and f.name not in (id_col, text_col)]
+    order = F.struct(known.alias("known"), F.col(id_col).alias("id"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(plain)])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = text_or_empty(text_col)
+    rows = docs.select(content_hash(text).alias("h"), text.alias("t"), order.alias("o"), row.alias("r"))
+    best = {"max": F.max_by, "min": F.min_by}[keep]("r", "o").alias("r")
+    return rows.groupBy("h", "t").agg(best).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sparrowsql.llm import exact_dedup
 
 
@@ -39,3 +41,23 @@ def test_smallest_id(edge_docs):
 def test_empty(no_docs):
     assert exact_dedup.groups(no_docs).count() == 0
     assert exact_dedup.dedup(no_docs).count() == 0
+
+
+def test_null_is_the_empty_text_and_one_row_stays(spark):
+    rows = [(1, None, "b"), (1, "", "a"), (2, "x", "p"), (2, "x", "q"), (2, "x", "q"), (None, "y", None), (None, "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    assert sorted(map(repr, map(tuple, exact_dedup.dedup(docs).collect()))) == ["(1, None, 'b')", "(2, 'x', 'q')", "(None, 'y', 'z')"]
+    assert sorted(map(repr, map(tuple, exact_dedup.dedup(docs, keep="min").collect()))) == ["(1, '', 'a')", "(2, 'x', 'p')", "(None, 'y', None)"]
+
+
+def test_texts_that_collide_stay_apart(spark, monkeypatch, edge_docs):
+    monkeypatch.setattr(exact_dedup, "content_hash", lambda text: F.unhex(F.lpad(F.hex(F.length(text) % 3), 32, "0")))
+    docs = edge_docs.union(spark.createDataFrame([(20, "samE text", "s", None, None), (21, "xyz", "s", None, None)], edge_docs.schema))
+    test_groups_match_brute_force(docs)
+    assert sorted(r.doc_id for r in exact_dedup.dedup(docs).collect()) == [2, 4, 6, 7, 20, 21]
+
+
+def test_names_of_working_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, {"k": 1}), (2, "a", 7, 8, None)], "id long, t string, h int, r int, `o.d` map<string,int>")
+    assert [tuple(r) for r in exact_dedup.dedup(docs, "id", "t").collect()] == [(2, "a", 7, 8, None)]
+    assert sorted(r.keep_id for r in exact_dedup.groups(docs, "id", "t").collect()) == [2, 2]
