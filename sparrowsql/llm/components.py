@@ -14,13 +14,14 @@ def components(members: DataFrame, label: str = "components") -> DataFrame:
     Each round gives a group the least label of its members, a member the least
     of its groups, and then every node the label of its label, which shortens
     long chains. Grouped minima fold before each shuffle, so a group that holds
-    a third of all rows is no burden to one task; joins with it are split by
-    Spark. Rounds end when no label changes.
+    a third of all rows is no burden to one task; they are written before they
+    are joined, so that Spark splits the rows of such a group. Rounds end when no
+    label changes.
     """
     members = materialize(members.select("node", "group").distinct(), f"{label}-members")
     labels = materialize(members.select("node", F.col("node").alias("label")).distinct(), f"{label}-labels")
     while True:
-        low = members.join(labels, "node").groupBy("group").agg(F.min("label").alias("low"))
+        low = materialize(members.join(labels, "node").groupBy("group").agg(F.min("label").alias("low")), f"{label}-groups")
         best = members.join(low, "group").groupBy("node").agg(F.min("low").alias("low"))
         fresh = labels.join(best, "node").select("node", "label", F.least("label", "low").alias("low"))
         fresh = materialize(fresh, f"{label}-low")

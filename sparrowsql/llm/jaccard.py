@@ -5,25 +5,32 @@ isn't empty has one shingle of all its words. Two texts are linked when the
 Jaccard similarity of their sets is THRESHOLD or more.
 
 1. Texts with one set (128-bit fingerprint and count) fold into one node with a
-   number of copies.
-2. MinHash bands (32 of 5 values) find candidates: at a similarity of 0.8 a pair
-   shares no band with probability 3e-6. Nodes that share bands, directly or
-   through others, form candidate groups.
-3. A group is cut into blocks of at most BLOCK nodes, and each pair of blocks is
-   one unit of work that reaches its task as rows of nodes, never of pairs. In
-   it, MinHash values are compared 16 at a time; with a uniform prior, a pair is
-   dropped as soon as the posterior probability of reaching the threshold falls
-   below TOLERANCE; the rest are verified exactly on the sets, as bits over the
-   shingles that at least two texts of the unit share.
-4. A unit gives each node its number of links and one spanning edge, so output
+   number of copies. A node has a number of its own; ids are labels only.
+2. MinHash bands (32 of 5 values) put nodes into buckets: at a similarity of 0.8
+   a pair shares no bucket with probability 3e-6. Buckets of one node go, and of
+   buckets with the same nodes one stays.
+3. Pruning. In each bucket MinHash values (320 bytes a node, no texts) are
+   compared 16 at a time; with a uniform prior, a pair is dropped as soon as the
+   posterior probability of reaching the threshold falls below TOLERANCE. The
+   pairs that stay join their nodes to candidate groups, so texts that share a
+   band by chance or a template don't chain.
+4. Verification. A group is cut into blocks, and each pair of blocks is one unit
+   of work that reaches its task as rows of nodes, never of pairs. In it, pairs
+   are pruned in the same way and the rest verified exactly on the sets, as bits
+   over the shingles that at least two texts of the unit share.
+5. A unit gives each node its number of links and one spanning edge, so output
    grows with nodes, not with links. Classes are the components of the links.
 
-A group of n near copies that differ costs n^2 comparisons of bits, spread over
-(n / BLOCK)^2 / 2 units; none of it becomes rows.
+Exact numbers of links in a group of n near copies that all differ cost n^2
+comparisons of bits. They are spread over (n / b)^2 / 2 units, for which each
+node makes n / b rows, where b grows from BLOCK with the root of n to MOST_BLOCK:
+one row up to 512 nodes, 12 rows each at 10,000, 49 at 100,000, then in
+proportion to n. Buckets are cut in the same way, up to WIDE_BLOCK nodes.
 
 Null and empty texts have no shingles, no links and a class of their own.
-Repeated rows are copies. Null ids count as copies and links, never as a class
-id when any other id is there. Any further columns don't matter.
+Repeated rows are copies. An id may stand on several texts. Null ids count as
+copies and links, never as a class id when any other id is there. Texts of any
+length are read whole. Any further columns don't matter.
 """
 
 from __future__ import annotations
@@ -43,7 +50,10 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 512
+#: Nodes in a block at least, in one of a group at most, in one of a bucket at most.
+BLOCK, MOST_BLOCK, WIDE_BLOCK = 512, 2_048, 8_192
+#: Buckets up to this size are compared together, so many pairs at a time.
+SMALL, PAIRS = 64, 200_000
 _rng = np.random.default_rng(20_240_601)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,14 +89,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def minhashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """HASHES minima of each set that isn't empty (the others get zeros), as 32-bit values."""
+    """HASHES minima of each set that isn't empty (the others get zeros), as 16-bit values."""
     n = len(first) - 1
-    out = np.zeros((n, HASHES), np.uint32)
+    out = np.zeros((n, HASHES), np.uint16)
     some = np.flatnonzero(np.diff(first))
     if len(some):
         starts = first[some]
         for i in range(HASHES):
-            out[some, i] = np.minimum.reduceat((value ^ _XOR[i]) * _MULTIPLY[i] >> np.uint64(32), starts).astype(np.uint32)
+            out[some, i] = np.minimum.reduceat((value ^ _XOR[i]) * _MULTIPLY[i], starts) >> np.uint64(24) & np.uint64(0xFFFF)
     return out
 
 
@@ -147,6 +157,17 @@ def candidates(sig_a: np.ndarray, sig_b: np.ndarray, same: bool, least: list[int
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def pruned(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows of sig that pruning leaves."""
+    k = np.zeros(len(a), np.int64)
+    for i, few in enumerate(least):
+        cut = slice(i * STEP, (i + 1) * STEP)
+        k = k + (sig[a, cut] == sig[b, cut]).sum(1)
+        keep = k >= few
+        a, b, k = a[keep], b[keep], k[keep]
+    return a, b
+
+
 def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the sets of each pair (a, b) reach the threshold, exactly."""
     size = np.array([len(s) for s in sets])
@@ -165,9 +186,11 @@ def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: fl
         common = times[group] > 1
         place = np.cumsum(times > 1) - 1
         column, owner = place[group[common]], owner[common]
-        for low in range(0, int((times > 1).sum()), 1 << 14):  # 16,384 shingles at a time
-            here = (column >= low) & (column < low + (1 << 14))
-            wide = min(1 << 14, int((times > 1).sum()) - low)
+        total = int((times > 1).sum())
+        most = max(64, (1 << 25) // len(sets))  # shingles at a time
+        for low in range(0, total, most):
+            here = (column >= low) & (column < low + most)
+            wide = min(most, total - low)
             flags = np.zeros((len(sets), -(-wide // 64) * 64), bool)
             flags[owner[here], column[here] - low] = True
             bits = np.packbits(flags, axis=1).view(np.uint64)
@@ -215,47 +238,177 @@ def _links(rows: list[dict], same: bool, threshold: float, least: list[int]) ->
     return [(int(nodes[i]), int(links[i]), int(nodes[root[i]])) for i in np.flatnonzero(links)]
 
 
+def _text(text_col: str):
+    return F.col(text_col).cast("string")
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, p1, p2, n, bands of every document."""
+    """id, th (a hash of the text), p1, p2, n, sig of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("th"), _text(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in slices(offsets):
                 value, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 p1, p2 = prints(value, first)
-                keys = band_keys(minhashes(value, first))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(np.diff(first), pa.int64()), lists],
-                    ["id", "p1", "p2", "n", "bands"],
-                )
+                sig = pa.array([s.tobytes() for s in minhashes(value, first)], pa.binary())
+                made = [pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(np.diff(first), pa.int64()), sig]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made], ["id", "th", "p1", "p2", "n", "sig"])
+
+    return rows.mapInArrow(run, f"id {kind}, th long, p1 long, p2 long, n long, sig binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures as rows of a matrix."""
+    raw, offsets = utf8(column)
+    return raw.view(np.uint16).reshape(len(offsets) - 1, HASHES)
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """node, key of each band of each node."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                keys = band_keys(_matrix(part.column(1)))
+                node = np.repeat(part.column(0).to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.reshape(-1).view(np.int64))], ["node", "key"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node long, key long")
+
 
-    return rows.mapInArrow(run, f"id {kind}, p1 long, p2 long, n long, bands array<long>")
+def _block(most: int):
+    """Nodes in a block of a group of size nodes."""
+    return F.greatest(F.lit(BLOCK), F.least(F.lit(most), 8 * F.sqrt("size")))
+
+
+def _cut(rows: DataFrame, by: str, block) -> DataFrame:
+    """rows (with node and size, the number of nodes of their group) for each pair of blocks (low, high) that theirs is in."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", by), F.col("blocks")))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return units.drop("other", "blocks", "size")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, low, high, block, node, sig: the nodes of every bucket of two or more, but of buckets with the same nodes one."""
+    banded = materialize(_bands(nodes), "bands")
+    sized = banded.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all")
+    )
+    kept = sized.where("size > 1").groupBy("size", "first", "last", "all").agg(F.min("key").alias("key")).select("key", "size")
+    members = banded.join(materialize(kept, "buckets"), "key")
+    return _cut(members.join(nodes.select("node", "sig"), "node"), "key", _block(WIDE_BLOCK))
+
+
+def _joined(buckets: DataFrame, threshold: float) -> DataFrame:
+    """node, group: spanning edges of the pairs that pruning leaves in each unit of a bucket."""
+    least = fewest_matches(threshold)
+
+    def run(batches):
+        nodes, sigs, left, right = [], [], [], []  # of small buckets, compared together
+        base = pairs = 0
+
+        def edges(node, a, b):
+            root = _roots(len(node), a, b)
+            some = np.unique(np.concatenate([a, b]))
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["node", "group"])
+
+        def close():
+            nonlocal base, pairs
+            node = np.concatenate(nodes)
+            a, b = pruned(np.concatenate(sigs), np.concatenate(left), np.concatenate(right), least)
+            for x in (nodes, sigs, left, right):
+                x.clear()
+            base = pairs = 0
+            return edges(node, a, b)
+
+        for unit, same, columns in _units(batches):
+            node, sig = columns[1].to_numpy(), _matrix(columns[2])
+            if same and len(node) <= SMALL:
+                a, b = np.triu_indices(len(node), 1)
+                nodes.append(node)
+                sigs.append(sig)
+                left.append(a + base)
+                right.append(b + base)
+                base, pairs = base + len(node), pairs + len(a)
+                if pairs >= PAIRS:
+                    yield close()
+                continue
+            if same:
+                yield edges(node, *candidates(sig, sig, True, least))
+            else:
+                block = columns[0].to_numpy()
+                one, two = np.flatnonzero(block == unit[1]), np.flatnonzero(block == unit[2])
+                a, b = candidates(sig[one], sig[two], False, least)
+                yield edges(node, one[a], two[b])
+        if pairs:
+            yield close()
+
+    keys = ["key", "low", "high"]
+    laid = buckets.select(*keys, "block", "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    return laid.mapInArrow(run, "node long, group long")
+
+
+def _units(batches):
+    """(key, low == high, the other columns) of each run of rows with equal first three columns."""
+    key, held = None, []
+
+    def whole():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[3:]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, low, high = (batch.column(i).to_numpy() for i in range(3))
+        cuts = np.flatnonzero((g[1:] != g[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
+            here = (int(g[a]), int(low[a]), int(high[a]))
+            if here != key:
+                if held:
+                    yield key, key[1] == key[2], whole()
+                key, held = here, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, key[1] == key[2], whole()
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, grp, blocks, block, copies, set, sig of the wanted nodes, from their texts."""
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(wanted, F.col("id").eqNullSafe(F.col("want")))
-    rows = rows.select("node", "grp", "blocks", "block", "copies", "p1", "p2", "text")
+    """node, grp, size, copies, set, sig of the wanted nodes, from their texts."""
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("th"), _text(text_col).alias("text"))
+    rows = text.join(wanted, F.col("id").eqNullSafe(F.col("want")) & (F.col("th") == F.col("want_th")))
+    rows = rows.select("node", "grp", "size", "copies", "text")
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(7))
+            data, offsets = utf8(batch.column(4))
             for a, b in slices(offsets):
                 part = batch.slice(a, b - a)
                 value, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                p1, p2 = (p.view(np.int64) for p in prints(value, first))
-                sig = minhashes(value, first).astype(np.uint16)
-                right = (p1 == part.column(5).to_numpy()) & (p2 == part.column(6).to_numpy())  # an id may stand on several texts
+                sig = minhashes(value, first)
                 made = [pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(b - a)], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())]
-                out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), *made], ["node", "grp", "blocks", "block", "copies", "set", "sig"])
-                yield out.filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), *made], ["node", "grp", "size", "copies", "set", "sig"])
+
+    return rows.mapInArrow(run, "node long, grp long, size long, copies long, set binary, sig binary")
 
-    return rows.mapInArrow(run, "node long, grp long, blocks long, block long, copies long, set binary, sig binary")
+
+def _links(node: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, sides: tuple | None, threshold: float, least: list[int]):
+    """node, links (copies counted), root node, for the nodes of one unit that have links; sides: the rows of its two blocks."""
+    if sides is None:
+        a, b = candidates(sig, sig, True, least)
+    else:
+        a, b = candidates(sig[sides[0]], sig[sides[1]], False, least)
+        a, b = sides[0][a], sides[1][b]
+    keep = verified(sets, a, b, threshold)
+    a, b = a[keep], b[keep]
+    links = (np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))).astype(np.int64)
+    root, some = _roots(len(node), a, b), np.flatnonzero(links)
+    return node[some], links[some], node[root[some]]
 
 
 def _compare(units: DataFrame, threshold: float) -> DataFrame:
@@ -263,71 +416,76 @@ def _compare(units: DataFrame, threshold: float) -> DataFrame:
     least = fewest_matches(threshold)
 
     def run(batches):
-        key, rows = None, []
-
-        def close():
-            made = _links(rows, key[1] == key[2], threshold, least) if len(rows) > 1 else []
-            if made:
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], ["node", "links", "root"])
-            return None
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                here = (row["grp"], row["low"], row["high"])
-                if here != key:
-                    if rows and (made := close()) is not None:
-                        yield made
-                    key, rows = here, []
-                rows.append(row)
-        if rows and (made := close()) is not None:
-            yield made
+        for unit, same, columns in _units(batches):
+            node = columns[1].to_numpy()
+            _, once = np.unique(node, return_index=True)  # a row that the table repeats comes repeated
+            if len(once) < 2:
+                continue
+            columns = [c.take(pa.array(once)) for c in columns]
+            block, node, copies = (columns[i].to_numpy() for i in range(3))
+            raw, offsets = utf8(columns[3])
+            sets = [raw[x:y].view(np.uint64) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            sides = None if same else (np.flatnonzero(block == unit[1]), np.flatnonzero(block == unit[2]))
+            made = _links(node, copies, sets, _matrix(columns[4]), sides, threshold, least)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["node", "links", "root"])
 
     keys = ["grp", "low", "high"]
-    laid = units.repartition(*keys).sortWithinPartitions(*keys)
+    laid = units.select(*keys, "block", "node", "copies", "set", "sig").repartition(*keys).sortWithinPartitions(*keys)
     return laid.mapInArrow(run, "node long, links long, root long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, class_id (the class's smallest id), n_links (other documents at threshold or more)."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """id, th, class_id, n_links, stays of every row: whether it is the one of its class with the least id (then the least set, then text)."""
     rows = materialize(_signatures(docs, id_col, text_col), "signatures")
-    folded = rows.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("id").alias("want"), F.count("*").alias("copies"))
-    nodes = materialize(folded.withColumn("node", F.coalesce(F.col("want").cast("long"), F.col("p1"))), "nodes")
-
-    # A node's bands come from the row whose id it has.
-    own = rows.where("n > 0").select(F.col("id").alias("i"), F.col("p1").alias("a"), F.col("p2").alias("b"), "bands")
-    match = F.col("i").eqNullSafe(F.col("want")) & (F.col("a") == F.col("p1")) & (F.col("b") == F.col("p2"))
-    banded = nodes.join(own, match).select("node", F.explode("bands").alias("band")).distinct()
-    banded = materialize(banded, "bands")
-    hubs = banded.groupBy("band").agg(F.min("node").alias("group"), F.count("*").alias("m")).where("m > 1").drop("m")
-    grouped = components(banded.join(hubs, "band").select("node", "group"), "near")
-
-    sizes = grouped.groupBy("label").agg(F.count("*").alias("size"))
-    placed = grouped.join(sizes, "label").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumnRenamed("label", "grp").drop("size")
-    wanted = nodes.join(placed, "node").select("want", "node", "grp", "blocks", "block", "copies", "p1", "p2")
-    sets = _with_sets(docs, wanted, id_col, text_col)
-    units = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
-    found = materialize(_compare(units, threshold), "links")
-
-    joined = components(found.select("node", F.col("root").alias("group")).union(found.select(F.col("root").alias("node"), F.col("root").alias("group"))), "class")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    folded = rows.where("n > 0").groupBy("p1", "p2", "n").agg(least.alias("w"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    folded = folded.select("p1", "p2", "n", F.col("w.id").alias("want"), F.col("w.th").alias("want_th"), "copies", "sig")
+    nodes = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so a number stays
+
+    near = _joined(_buckets(nodes), threshold)
+    grouped = components(near, "near")
+    sizes = materialize(grouped.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    placed = grouped.join(sizes, "label").withColumnRenamed("label", "grp")
+    wanted = nodes.join(placed, "node").select("want", "want_th", "node", "grp", "size", "copies")
+    found = materialize(_compare(_cut(_with_sets(docs, wanted, id_col, text_col), "grp", _block(MOST_BLOCK)), threshold), "links")
+
+    classes_ = components(found.select("node", F.col("root").alias("group")).union(found.select(F.col("root").alias("node"), F.col("root").alias("group"))), "class")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = nodes.join(joined, "node", "left").join(links, "node", "left").select(
+    told = nodes.drop("sig").join(classes_, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = materialize(told.join(links, "node", "left"), "told")
+    order = F.struct(F.col("want").isNull().alias("none"), "want", "p1", "p2", "n")
+    best = materialize(told.groupBy("label").agg(F.min(order).alias("best")), "best")
+    told = told.join(best, "label").select(
         F.col("p1").alias("a"),
         F.col("p2").alias("b"),
-        F.coalesce("label", "node").alias("class_id"),
+        F.col("n").alias("m"),
+        F.col("best.want").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "want",
+        "want_th",
+        ((F.col("best.p1") == F.col("p1")) & (F.col("best.p2") == F.col("p2")) & (F.col("best.n") == F.col("n"))).alias("best"),
     )
-    out = rows.select("id", "p1", "p2", "n").join(told, (F.col("n") > 0) & (F.col("p1") == F.col("a")) & (F.col("p2") == F.col("b")), "left")
+    out = rows.select("id", "th", "p1", "p2", "n").join(told, (F.col("p1") == F.col("a")) & (F.col("p2") == F.col("b")) & (F.col("n") == F.col("m")), "left")
+    one = F.col("best") & F.col("id").eqNullSafe(F.col("want")) & (F.col("th") == F.col("want_th"))
     return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("class_id", F.col("id").cast("long")).alias("class_id"),
+        "id",
+        "th",
+        F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n") > 0, one).otherwise(True).alias("stays"),  # without shingles: a class of its own
     )
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: id, class_id (the class's smallest id), n_links (other documents at threshold or more)."""
+    return _linked(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the smallest id of each class, with all its columns (ids are taken to be distinct)."""
-    out = classes(docs, id_col, text_col, threshold)
-    drop = out.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__id"), "left_anti")
+    """The document with the smallest id of each class, with all its columns; of rows repeated with one id and text, one."""
+    told = materialize(_linked(docs, id_col, text_col, threshold).select("id", "th", "stays"), "stays")
+    drop = told.where(~F.col("stays")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    key = (F.xxhash64(_text(text_col)) == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = docs.join(drop, key, "left_anti")
+    repeated = told.where("stays").groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

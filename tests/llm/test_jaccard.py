@@ -43,7 +43,8 @@ def test_tables(spark):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)  # many blocks
+    for name, size in (("BLOCK", 16), ("MOST_BLOCK", 16), ("WIDE_BLOCK", 32), ("SMALL", 8)):  # many blocks
+        monkeypatch.setattr(jaccard, name, size)
     random.seed(8)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -81,3 +82,42 @@ def test_exact_check_agrees_with_sets():
     for t in (0.2, 0.3, 0.8):
         want = [len(np.intersect1d(sets[x], sets[y])) >= t * len(np.union1d(sets[x], sets[y])) - 1e-9 for x, y in zip(a, b, strict=True)]
         assert (jaccard.verified(sets, a, b, t) == want).all()
+
+
+def test_one_id_on_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, near(base, 3)), (3, near(other, 4)), (3, near(base, 5)), (3, near(base, 5)), (None, near(other, 9)), (7, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, jaccard.classes(frame).collect()))) == sorted(map(repr, brute(rows)))
+    kept = sorted(map(repr, map(tuple, jaccard.keep_one(frame).collect())))
+    assert kept == sorted(map(repr, [(1, " ".join(base)), (1, " ".join(other)), (7, None), (7, "")]))
+
+
+def test_templates_do_not_chain(spark):
+    """Half of every text is one template: buckets are shared, but no pair stays, so no group comes of it."""
+    rng = random.Random(12)
+    template = " ".join(f"t{i}" for i in range(100))
+    rows = [(i, template + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(100))) for i in range(300)]
+    rows += [(1_000 + i, rows[i][1] + " tail") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(frame).collect())) == sorted(brute(rows))
+    signed = jaccard._signatures(frame, "doc_id", "text").withColumnRenamed("id", "node").persist()
+    buckets = jaccard._buckets(signed)
+    assert buckets.agg({"node": "max"}).first()[0] is not None
+    assert jaccard._joined(buckets, 0.8).select("node").distinct().count() == 10
+
+
+def test_recall_against_brute_force(spark):
+    """Pairs at every similarity from 0.8 on: none is lost."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        text = [f"a{i}x{j}" for j in range(120)]
+        rows.append((2 * i, " ".join(text)))
+        for _ in range(rng.randint(1, 3)):
+            text[rng.randrange(120)] = "b"
+        rows.append((2 * i + 1, " ".join(text)))
+    got = sorted(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute(rows)) and 200 < sum(n for _, _, n in got) < 800
