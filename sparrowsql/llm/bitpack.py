@@ -12,11 +12,14 @@ ids is read by unpacking just the blocks that hold it.
 
 Documents are range-partitioned by id, so the shards of partition 0 come before
 those of partition 1, and so on; where a document starts in the whole output is
-a sum over partitions (one row each), over a partition's shards, and an offset
-in the shard. Shards are written as binary values by Spark's own writer, which
-commits them atomically to any file system Spark knows and repeats lost tasks;
-each value is the image of one file. A shard closes at SHARD_IDS ids; a longer
-document has one of its own.
+a sum over partitions (one row each), plus where its shard starts in the
+partition (the writer counts that), plus an offset in the shard. Shards are
+written as binary values by Spark's own writer, which commits them atomically to
+any file system Spark knows and repeats lost tasks; each value is the image of
+one file. A shard closes at SHARD_IDS ids (128 kB at 16 bits), and each stands in
+a row with its first and last document id, so a reader that wants one document
+seeks to the pages of the shards that may hold it (read_documents) and unpacks
+the blocks it needs. A longer document has a shard of its own.
 
 Null and empty texts hold the end id only; null document ids come first; rows
 with the same id stay apart, in any order among themselves; an empty table
@@ -29,7 +32,6 @@ import os
 import re
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,14 +43,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowsql.llm.common import shared_dir, slices, utf8
+from sparrowsql.llm.bpe import byte_alphabet
+from sparrowsql.llm.common import scratch, slices, utf8
 
 HEAD = struct.Struct("<4sB3xIIQQ")
 MAGIC = b"BPK1"
 BLOCK_IDS = 1024
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 16
 #: Entries in a process's table of encoded pieces before it starts anew, and their longest key.
-TABLE_SIZE, KEY_SIZE = 500_000, 64
+TABLE_SIZE, KEY_SIZE = 200_000, 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -141,14 +144,29 @@ class Shard:
             a = b
 
 
+class _Table(dict):
+    """Encoded pieces; a piece that isn't there is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.encode(piece)
+        if len(piece) <= KEY_SIZE:
+            if len(self) >= TABLE_SIZE:
+                self.clear()
+            self[piece] = made
+        return made
+
+
 class ChunkEncoder:
     """A library tokenizer whose pieces never cross white space, behind a table of pieces.
 
     Texts of characters below U+0300 only are lower-cased and cut into the
     scheme's own pieces here (they are in normal form already, and each lower
-    case is one character); other texts are cut at white space, and the library
-    does the rest. Pieces not seen yet go to the library joined by spaces; the
-    word-end mark tells where each piece's ids end.
+    case is one character), and the library's model merges each piece's bytes;
+    other texts are cut at white space, and the library does the rest.
     """
 
     def __init__(self, spec: str):
@@ -158,11 +176,6 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_truncation()
         self.lib.no_padding()
-        size = self.lib.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.lib.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.many = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         self.chunk = re.compile("[^ \t\n\r]+")
         low = [chr(c) for c in range(0x300)]
         letters = "".join(c for c in low if c.isalpha())
@@ -170,45 +183,22 @@ class ChunkEncoder:
         space = "\t\n\x0b\x0c\r \x85\xa0"  # Unicode's White_Space below U+0300
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
         self.odd = re.compile("[\u0130\u023a\u023e\u0300-\U0010ffff]|<\\|")
-        self.table: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode the library's own single pieces, joined by spaces."""
-        for a in range(0, len(pieces), 5_000):
-            part = pieces[a : a + 5_000]
-            ids = np.array(self.many([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("a piece was cut by the tokenizer")
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.table[piece] = raw[at:end]
-                at = end
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.pieces, self.chunks = _Table(self._piece), _Table(self._whole)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.table) >= TABLE_SIZE:
-            self.table.clear()
-        table, made = self.table, []
-        plain = [not self.odd.search(t) for t in texts]
-        cut = [self.piece.findall(t.lower()) if p else self.chunk.findall(t) for t, p in zip(texts, plain, strict=True)]
-        new = {c for chunks, p in zip(cut, plain, strict=True) if p for c in chunks if c not in table}
-        self._learn(list(new))
-        for chunks, p in zip(cut, plain, strict=True):
-            if p:
-                made.append(b"".join([table[c] for c in chunks]))
-            else:
-                made.append(b"".join([table.get(c) or self._whole(c) for c in chunks]))
-        for c in new:
-            if len(c) > KEY_SIZE:
-                del table[c]
-        return made
+        pieces, chunks = self.pieces.__getitem__, self.chunks.__getitem__
+        return [b"".join(map(chunks, self.chunk.findall(t))) if self.odd.search(t) else b"".join(map(pieces, self.piece.findall(t.lower()))) for t in texts]
+
+    def _piece(self, piece: str) -> bytes:
+        said = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.lib.model.tokenize(said)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, chunk: str) -> bytes:
-        found = np.array(self.many([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        if len(chunk) <= KEY_SIZE:
-            self.table[chunk] = found
-        return found
+        ids = self.lib.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -216,7 +206,12 @@ def encoder(spec: str) -> ChunkEncoder:
     return ChunkEncoder(spec)
 
 
-SHARDS = "part int, shard int, n_docs long, n_tokens long, image binary"
+# in_part: ids before the shard in its partition; low, high: the least and greatest document id, null where one is null.
+SHARDS = "part int, shard int, n_docs long, n_tokens long, in_part long, low long, high long, image binary"
+_SHARD_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+_SHARD_NAMES = ["part", "shard", "n_docs", "n_tokens", "in_part", "low", "high", "image"]
+#: Partitions whose sums are broadcast; with more the sums are joined by a shuffle.
+BROADCAST_PARTS = 1_000_000
 
 
 def write(
@@ -238,17 +233,15 @@ def write(
     end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches):
-        enc, part, count = encoder(spec.value), TaskContext.get().partitionId(), 0
+        enc, part, count, before = encoder(spec.value), TaskContext.get().partitionId(), 0, 0
         ids, tokens, size = [], [], 0
 
         def close():
-            nonlocal ids, tokens, size, count
-            row = [part, count, len(ids), size, pack(ids, tokens, bits)]
-            ids, tokens, size, count = [], [], 0, count + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)],
-                ["part", "shard", "n_docs", "n_tokens", "image"],
-            )
+            nonlocal ids, tokens, size, count, before
+            low, high = (None, None) if None in ids else (ids[0], ids[-1])
+            row = [part, count, len(ids), size, before, low, high, pack(ids, tokens, bits)]
+            ids, tokens, before, size, count = [], [], before + size, 0, count + 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SHARD_KINDS, strict=True)], _SHARD_NAMES)
 
         for batch in batches:
             _, offsets = utf8(batch.column(1))
@@ -257,7 +250,7 @@ def write(
                 names = batch.column(0).slice(a, b - a).to_pylist()
                 for name, raw in zip(names, enc.encode(texts), strict=True):
                     made = np.frombuffer(raw + end, "<u4")
-                    if ids and size + len(made) > shard_ids:
+                    if ids and (size + len(made) > shard_ids or (name is None) != (ids[-1] is None)):
                         yield close()
                     ids.append(name)
                     tokens.append(made)
@@ -266,19 +259,39 @@ def write(
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = rows.withColumn("h", F.xxhash64("text"))  # rows of one id may be dealt to several tasks
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id").select("id", "text")
     ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """The shards under path, with the number of ids before each."""
+    """The shards under path, with the number of ids before each; the images aren't shuffled."""
     files = spark.read.schema(SHARDS).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("in_part"))
-    return files.join(places.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("in_part")).alias("start")), ["part", "shard"])
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
+    return files.join(parts, "part").withColumn("start", F.col("part_start") + F.col("in_part"))
+
+
+def read_documents(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """id, tokens of the documents with these ids: only the shards that may hold them are read, and only their blocks unpacked."""
+    wanted = sorted(set(ids))
+    may = F.lit(False)
+    for i in wanted:
+        may = may | ((F.col("low") <= i) & (F.col("high") >= i))
+
+    def run(batches):
+        for batch in batches:
+            for image in batch.column(0):
+                shard = Shard(image.as_py())
+                found = [(name, shard.document(i)) for i, name in enumerate(shard.doc_ids) if name in wanted]
+                columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens"])
+
+    held = spark.read.schema(SHARDS).parquet(path).where(may).select("image")
+    return held.mapInArrow(run, "id long, tokens array<long>").withColumnRenamed("id", id_col)
 
 
 def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -302,6 +315,6 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards to the shared folder and read each document's digest back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/sparrow/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write(docs, vocabulary, path, end_id, id_col, text_col)
     return read_digests(spark, path, id_col)

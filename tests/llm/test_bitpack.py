@@ -55,8 +55,27 @@ def test_edges(edge_docs, no_docs):
     assert bitpack.round_trip(no_docs, PATH, 1).count() == 0
 
 
-def test_every_letter_below_combining_marks_is_cut_as_the_library_does(spark):
-    """Two letters lower to characters beyond the fast path's own."""
-    rows = [(c, f"a{chr(c)}b {chr(c)}{chr(c)} x") for c in range(0xA1, 0x300) if chr(c).isalpha()]
+def test_every_character_below_combining_marks_is_cut_as_the_library_does(spark):
+    """Control characters have stand-ins; two letters lower to characters beyond the fast path's own."""
+    rows = [(c, f"a{chr(c)}b {chr(c)}{chr(c)} x") for c in range(0x300) if chr(c) != "\x00"]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, bitpack.round_trip(frame, PATH, 1).collect())) == brute(rows)
+
+
+def test_long_documents_and_random_access_in_storage(spark, tmp_path):
+    """Documents longer than a shard, repeated and null ids; one document is found without reading the other shards."""
+    rows = [(i, f"word{i % 7} and {i} " * (1 + i % 50)) for i in range(0, 600, 2)] + [(301, "long text " * 3_000), (None, "no id"), (None, ""), (40, "again")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/packed"
+    bitpack.write(frame, PATH, path, 1, shard_ids=2_048)
+    got = sorted(map(tuple, bitpack.read_digests(spark, path).collect()), key=lambda r: r[1])
+    assert sorted(repr((r[0], *r[2:])) for r in got) == sorted(repr((r[0], *r[2:])) for r in brute(rows))
+    assert [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    files = spark.read.parquet(path)
+    assert files.count() > 20 and max(r.n_tokens for r in files.collect()) > 2_048
+    assert files.where("low <= 301 AND high >= 301").count() <= 2
+    lib = Tokenizer.from_file(PATH)
+    found = {r.doc_id: r.tokens for r in bitpack.read_documents(spark, path, [301, 44, 7]).collect()}
+    assert found == {i: [*lib.encode(dict(rows)[i], add_special_tokens=False).ids, 1] for i in (301, 44)}
+    assert len(bitpack.read_documents(spark, path, [40]).collect()) == 2
