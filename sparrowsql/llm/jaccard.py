@@ -53,7 +53,7 @@ TOLERANCE = 1e-6
 #: Nodes in a block at least, in one of a group at most, in one of a bucket at most.
 BLOCK, MOST_BLOCK, WIDE_BLOCK = 512, 2_048, 8_192
 #: Buckets up to this size are compared together, so many pairs at a time.
-SMALL, PAIRS = 64, 200_000
+SMALL, PAIRS = 64, 20_000
 _rng = np.random.default_rng(20_240_601)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
