@@ -82,3 +82,6 @@ def test_edges(spark):
     got = {r.conv_id: r for r in chat.digests(chat.format_conversations(chat.from_turns(frame))).collect()}
     assert got[1].n_turns == 3 and got[None].loss_chars == 300_000 and got[2].n_turns == 1
     assert chat.digests(chat.format_conversations(chat.from_turns(frame.limit(0)))).count() == 0
+    named = frame.selectExpr("*", "'x' AS conv", "7 AS node", "8 AS parent", "text AS score", "1 AS branch", "2 AS c", "3 AS n")
+    again = {r.conv_id: r for r in chat.digests(chat.format_conversations(chat.from_turns(named))).collect()}
+    assert again == got

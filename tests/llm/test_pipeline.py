@@ -36,3 +36,31 @@ def test_benchmark_stage_drops_documents_of_one_item(spark, sf):
     rows = [(1, f"{texts[0]} . {texts[1]}"), (2, f"before {texts[0]} after"), (3, "nothing of them"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, sf).collect()) == [3, 4]
+
+
+def test_stages_on_nulls_ties_repeats_and_long_texts(spark, sf):
+    """Each stage by itself, on rows that the stages before would have dropped."""
+    passage = sorted({r.text for r in table(spark, sf, "benchmark").collect()})[0]
+    long = "A plain sentence about the weather, written by hand on day {}. " * 3_000
+    rows = [
+        (1, None, "en", "s", None, "x"),
+        (2, "", None, None, 0, "x"),
+        (None, "Plain words in a plain sentence, as people write them every day.", "en", "s", 1, None),
+        (4, "Plain words in a plain sentence, as people write them every day.", "en", "s", 1, "y"),
+        (4, "Plain words in a plain sentence, as people write them every day.", "en", "s", 1, "y"),
+        (5, f"Before. {passage} After.", "en", "t", 2, "z"),
+        (6, long, "en", "t", 3, "z"),
+        (7, long, "en", "t", 3, "z"),
+        (8, long + "One more.", "en", "t", 3, "z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    ids = lambda frame: sorted(str(r.doc_id) for r in frame.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    got = {name: stages[name](spark, docs, sf) for name in ("quality", "exact", "near", "benchmark")}
+    assert all(frame.columns == docs.columns for frame in got.values())
+    assert not {"1", "2"} & set(ids(got["quality"])) and set(ids(got["quality"])) <= set(ids(docs))
+    assert ids(got["exact"]) == ["2", "4", "5", "7", "8"]
+    assert ids(got["near"]) == ["1", "2", "4", "5", "6"]
+    assert ids(got["benchmark"]) == ["1", "2", "4", "4", "6", "7", "8", "None"]
+    encoded = {str(r.doc_id): r.n_tokens for r in stages["encode"](spark, docs, sf).collect()}
+    assert encoded["1"] == encoded["2"] == 0 and encoded["6"] == encoded["7"] > 10_000 and len(encoded) == 8
