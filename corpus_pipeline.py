@@ -7,6 +7,14 @@
     encode      every text as byte-level BPE ids: doc_id, n_tokens and digests
 
 All stages but the last return the columns of documents.
+
+Null and empty texts are rejected by the first stage, which keeps nothing without
+words. Given to the others, they count as one empty text (exact), as classes of
+their own (near), as clean (benchmark) and as no tokens (encode). Null ids stay
+like others; in exact and near a row with an id is kept before one without. Rows
+repeated with one id and text are one document after exact and near. Ties go by
+id, as each stage says. Empty tables give empty tables. Texts of any length are
+read whole, and further columns pass through.
 """
 
 from __future__ import annotations
