@@ -45,7 +45,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Below this code point the Unicode versions of this process and the library agree on classes.
 SETTLED = 0x530
 #: Entries that a process keeps in each of its tables before it starts anew, and their longest key.
-TABLE_SIZE, KEY_SIZE = 400_000, 64
+TABLE_SIZE, KEY_SIZE = 250_000, 64
 NEVER = 1 << 60
 
 
@@ -89,12 +89,12 @@ class Merges:
         for t, i in ids.items():
             self.shorter[i] = next((ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ids), -1)
         self.sizes = [len(t) for t in self.text]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.edges: dict[int, list[tuple[int, int]]] = {}  # inner edges on the left, by token
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens leaves just these two."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             known = self._fits(left, right)
@@ -141,7 +141,7 @@ class Merges:
                 if not shut[end]:
                     if last < 0:
                         break
-                    fits = pairs.get((last, token))
+                    fits = pairs.get(last << 32 | token)
                     if fits or fits is None and self.fits(last, token):
                         break
                 token = shorter[token]

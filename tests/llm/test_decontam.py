@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from sparrowsql.llm import decontam
@@ -93,3 +94,19 @@ def test_capital_sigma_beside_marks(spark):
     got = decontam.annotate(docs, bench).collect()
     assert sorted(map(repr, map(tuple, got))) == brute(rows, items)
     assert [r.n_items for r in sorted(got)] == [1, 1, 1, 0]
+
+
+def test_windows_of_cased_words_beyond_ascii(spark):
+    """Random texts of letters whose lower case depends on their neighbours or changes in length."""
+    rng = random.Random(13)
+    parts = ["ΟΔΟΣ", "οδος", "Σ", "ς", "İI", "K", "ß", "ẞ", "Ab", "aB", "b", "c'x", "é", "Éa", "日本", "Ⅷ", "ǅ"]
+    joins = [" ", "'", ".", ":", "-", "­", "  "]
+    text = lambda n: "".join(rng.choice(parts) + rng.choice(joins) for _ in range(n))
+    items = [(i, text(rng.randint(1, 12))) for i in range(60)]
+    rows = [(i, text(rng.randint(0, 10)) + "".join(rng.choice(items)[1] for _ in range(rng.randint(0, 2))) + text(3)) for i in range(300)]
+    rows.append((900, "ΟΔΟΣ'x b c d e f g"))
+    items += [(907, "ΟΔΟΣ x b c d e f g"), (908, "ΟΔΟΣ'x b c d e f g")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.annotate(docs, bench).collect()
+    assert sorted(map(repr, map(tuple, got))) == brute(rows, items)
+    assert next(r for r in got if r.doc_id == 900)[2:4] == (8, 2)
