@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrowsql.sources.tables import frame
+
 SQL = """
 SELECT c_mktsegment, count(*) AS n_orders,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
@@ -15,8 +17,7 @@ GROUP BY c_mktsegment
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer, orders = frame(spark, sf_dir, "customer"), frame(spark, sf_dir, "orders")
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     return (
         orders.where(F.col("o_orderstatus") != "P")

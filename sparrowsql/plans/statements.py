@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparrowsql.plans import admin
 from sparrowsql.plans.session import Session
 from sparrowsql.sources.store import Conflict
-from sparrowsql.sources.tables import TABLES
+from sparrowsql.sources.tables import TABLES, frame
 
 
 def warehouse(spark: SparkSession) -> str:
@@ -31,7 +31,7 @@ def warehouse(spark: SparkSession) -> str:
 
 
 def open_session(spark: SparkSession, sf_dir: str) -> Session:
-    return Session(spark, warehouse(spark), {t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
+    return Session(spark, warehouse(spark), {t: lambda t=t: frame(spark, sf_dir, t) for t in TABLES})
 
 
 CUSTOMERS = "CREATE TABLE cust (id BIGINT PRIMARY KEY, name VARCHAR(50) NOT NULL, seg VARCHAR(20), bal DOUBLE DEFAULT 0.0)"
