@@ -41,6 +41,13 @@ def _replace(store: Store, db: str, name: str, df: DataFrame, also: list[str] |
     store.touch(db, name)
 
 
+def cluster(store: Store, db: str, name: str, index: dict) -> None:
+    """Lay a table out for an index: sorted by its columns, so that Parquet's statistics prune; a hash index adds Bloom filters (Store.write)."""
+    rows = store.frame(db, name)
+    if store.database(db)["tables"][name]["segments"]:
+        _replace(store, db, name, rows.repartitionByRange(*index["columns"]).sortWithinPartitions(*index["columns"]) if index["kind"] == "BTREE" else rows)
+
+
 def carried(store: Store, db: str, name: str, columns: list[str]) -> DataFrame:
     """Identity and __s_<column> of the rows that delete_rows has carried changes for."""
     table = store.database(db)["tables"][name]

@@ -553,7 +553,14 @@ class Session:
         name = c.name()
         c.expect("ON")
         table = c.name()
-        database["indexes"][name] = {"table": self.table(table)[1], "columns": c.names(), "kind": "HASH" if c.accept("USING", "HASH") else "BTREE"}
+        db, table = self.table(table)
+        known = {x["name"].lower(): x["name"] for x in self.store.database(db)["tables"][table]["columns"]}
+        columns = c.names()
+        if unknown := [x for x in columns if x.lower() not in known]:
+            raise SqlError(f"{table} has no column {unknown[0]}")
+        index = {"table": table, "columns": [known[x.lower()] for x in columns], "kind": "HASH" if c.accept("USING", "HASH") else "BTREE"}
+        self.store.database(db)["indexes"][name] = index
+        dml.cluster(self.store, db, table, index)
 
     def _create_function(self, c: Cursor, database: dict, replace: bool, text: str) -> None:
         name = c.name()

@@ -1,5 +1,8 @@
 """Golden tests on a small staff database; expected rows follow by hand from the inserted ones."""
 
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 
 from sparrowsql.functions.dialect import SqlError
@@ -328,3 +331,17 @@ def test_before_triggers_and_set_default(session):
     assert rows(session, "SELECT n FROM log") == [(360,)]
     session.sql("DELETE FROM par WHERE id = 1")
     assert rows(session, "SELECT id, p FROM kid") == [(1, 2), (2, 2)]
+
+
+def test_indexes_lay_the_table_out(session, spark):
+    session.frames["numbers"] = spark.range(0, 20_000, 1, 4).selectExpr("(id * 7919) % 20000 AS id", "concat('c', id) AS code", "CAST(id AS INT) AS v")
+    session.run("CREATE TABLE big (id BIGINT, code VARCHAR(20), v INT); INSERT INTO big SELECT id, code, v FROM numbers; CREATE INDEX ix ON big (ID); CREATE INDEX hx ON big (code) USING HASH;")
+    path = f"{session.store.root}/{session.store.catalog['databases']['main']['tables']['big']['segments'][0]}".removeprefix("file://")
+    spans = sorted((s.min, s.max) for f in glob.glob(f"{path}/*.parquet") for s in [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics])
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert rows(session, "SELECT v FROM big WHERE id = 7919 * 3") == [] and rows(session, "SELECT v FROM big WHERE id = 3757") == [(3,)]
+    assert rows(session, "SELECT v FROM big WHERE code = 'c17'") == [(17,)]
+    session.sql("INSERT INTO big VALUES (1, 'new', 0)")
+    assert rows(session, "SELECT count(*) AS n FROM big") == [(20_001,)]
+    with pytest.raises(SqlError):
+        session.sql("CREATE INDEX bad ON big (nothing)")
