@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparrowsql.functions.dialect import SqlError
@@ -24,8 +24,8 @@ def all_null_safe(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
-def check_rows(df: DataFrame, table: dict, name: str) -> None:
-    """NOT NULL, ENUM, SET and CHECK of all rows, in one pass."""
+def check_rows(df: DataFrame, table: dict, name: str, *also: Column) -> Row | None:
+    """NOT NULL, ENUM, SET and CHECK of all rows, in one pass, which gives the aggregates in also as well."""
     tests: list[tuple[str, Column]] = []
     for c in table["columns"]:
         col = F.col(f"`{c['name']}`")
@@ -39,12 +39,13 @@ def check_rows(df: DataFrame, table: dict, name: str) -> None:
             tests.append((f"{c['name']} must hold only {c['set']}", col.isNotNull() & (F.size(F.array_except(parts, allowed)) > 0)))
     for check in table["checks"]:
         tests.append((f"check {check['name']} ({check['expr']})", ~F.coalesce(F.expr(check["expr"]), F.lit(True))))
-    if not tests:
-        return
-    row = df.agg(*[F.count_if(bad).alias(f"t{i}") for i, (_, bad) in enumerate(tests)]).first()
+    if not tests and not also:
+        return None
+    row = df.agg(*[F.count_if(bad).alias(f"t{i}") for i, (_, bad) in enumerate(tests)], *also).first()
     for i, (said, _) in enumerate(tests):
         if row[f"t{i}"]:
             raise Violation(f"{name}: {said}: {row[f't{i}']} rows")
+    return row
 
 
 def check_unique(df: DataFrame, table: dict, name: str) -> None:

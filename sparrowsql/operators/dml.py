@@ -108,7 +108,8 @@ def insert(
     if auto:
         fresh = dense_ids(fresh, table["auto"], auto)
     existing = store.frame(db, name)
-    check_rows(fresh, table, name)
+    tally = F.count("*").alias("n"), F.max(auto or F.lit(None)).alias("top")
+    stats = check_rows(fresh, table, name, *tally)
     keys = keys_of(table)
     if keys and (ignore or on_duplicate is not None):
         ordered = store.spark.read.schema(batch.schema).parquet(f"{store.root}/{parked}")
@@ -137,7 +138,8 @@ def insert(
         segment = parked
     table["segments"].append(segment)
     added = store.spark.read.schema(batch.schema).parquet(f"{store.root}/{segment}")
-    stats = added.agg(F.count("*").alias("n"), F.max(auto or F.lit(None)).alias("top")).first()
+    if ignore:
+        stats = added.agg(*tally).first()
     table["rows"] += stats["n"]
     if auto and stats["top"] is not None:
         table["auto"] = max(table["auto"], int(stats["top"]) + 1)

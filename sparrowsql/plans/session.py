@@ -254,8 +254,14 @@ class Session:
             updates = self._sets(c)
         returning = self._returning(c)
         c.end()
-        added = self._triggered(db, name, "INSERT", lambda: dml.insert(self.store, db, name, source, columns, ignore, updates))
-        return self._returned(added, returning, added.count() if returning is None else 0)
+
+        def act() -> tuple[DataFrame, int]:
+            before = self.store.database(db)["tables"][name]["rows"]
+            added = dml.insert(self.store, db, name, source, columns, ignore, updates)
+            return added, self.store.database(db)["tables"][name]["rows"] - before
+
+        added, count = self._triggered(db, name, "INSERT", act)
+        return self._returned(added, returning, count)
 
     def _sets(self, c: Cursor) -> list[tuple[str, str]]:
         """col = expr, ... up to WHERE, RETURNING or the end."""
