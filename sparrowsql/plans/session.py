@@ -20,6 +20,8 @@ from sparrowsql.plans.parsing import Cursor, column_definition, column_type, emp
 from sparrowsql.sources.store import DEFAULT_DB, Store, empty_database
 
 _session = itertools.count()
+#: Changes of rows after which a session runs VACUUM by itself, outside of transactions.
+AUTO_VACUUM = 200
 
 
 class Session:
@@ -32,6 +34,7 @@ class Session:
         self._prefix = f"sparrow_{next(_session)}"
         self._hidden: dict[str, str] = {}  # names that a recursive query or a change stands for
         self._depth = 0
+        self._changes = 0
 
     # --- entry points
 
@@ -198,7 +201,11 @@ class Session:
                 for t in list(self.store.database(db)["triggers"].values()):
                     if (t["table"], t["moment"], t["event"]) == (name, moment, event):
                         routines.body(self, t["body"], {})
-            return out
+        self._changes += 1
+        if self._changes >= AUTO_VACUUM and self.store.staged is None:
+            self._changes = 0
+            self.store.vacuum()
+        return out
 
     def _view_target(self, name: str) -> tuple[str, str | None]:
         """The base table of an updatable view and the view's condition; the name itself for a table."""

@@ -1,6 +1,7 @@
 """Golden tests on a small staff database; expected rows follow by hand from the inserted ones."""
 
 import glob
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.parquet as pq
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from sparrowsql.functions.dialect import SqlError
 from sparrowsql.operators.constraints import Violation
 from sparrowsql.plans import admin
+from sparrowsql.plans import session as session_module
 from sparrowsql.plans.session import Session
 from sparrowsql.sources.store import Conflict
 
@@ -345,3 +347,29 @@ def test_indexes_lay_the_table_out(session, spark):
     assert rows(session, "SELECT count(*) AS n FROM big") == [(20_001,)]
     with pytest.raises(SqlError):
         session.sql("CREATE INDEX bad ON big (nothing)")
+
+
+def test_sessions_that_publish_at_once(session, spark):
+    """Each of several threads changes a table of its own; every commit is kept."""
+
+    def work(i):
+        own = Session(spark, session.store.root)
+        own.sql(f"CREATE TABLE t{i} (a INT)")
+        for k in range(3):
+            own.sql(f"INSERT INTO t{i} VALUES ({k})")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    assert [rows(session, f"SELECT COUNT(*) AS n, SUM(a) AS s FROM t{i}") for i in range(4)] == [[(3, 3)]] * 4
+    assert session.store.files.names("leases") == [] and session.store.files.names("aside") == []
+
+
+def test_vacuum_runs_by_itself(session, monkeypatch):
+    monkeypatch.setattr(session_module, "AUTO_VACUUM", 3)
+    asked = []
+    monkeypatch.setattr(session.store, "vacuum", lambda: asked.append(session.store.staged) or 0)
+    session._changes = 0
+    session.run("BEGIN; UPDATE emp SET salary = 1; UPDATE emp SET salary = 2; UPDATE emp SET salary = 3; COMMIT;")
+    assert asked == []
+    session.sql("UPDATE emp SET salary = 4")
+    assert asked == [None]
