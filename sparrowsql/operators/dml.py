@@ -2,7 +2,9 @@
 
 Rows are told apart by the file and row index that the Parquet reader gives, so
 tables need no key. Conditions without subqueries change a table in one pass
-without a shuffle; others join the changed rows back by that identity.
+without a shuffle; others join the changed rows back by that identity. Only the
+segments that hold rows to change are written again; a table of one segment (one
+INSERT, or the last change of all) is one.
 """
 
 from __future__ import annotations
@@ -21,22 +23,32 @@ FILE, ROW = "__file", "__row"
 ORDER = "__order"
 
 
-def with_identity(store: Store, db: str, name: str) -> DataFrame:
-    df = store.frame(db, name)
-    if not store.database(db)["tables"][name]["segments"]:
+def with_identity(store: Store, db: str, name: str, segments: list[str] | None = None) -> DataFrame:
+    df = store.frame(db, name, segments)
+    if not (store.database(db)["tables"][name]["segments"] if segments is None else segments):
         return df.withColumn(FILE, F.lit("")).withColumn(ROW, F.lit(0).cast("long"))
     return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
+def _holding(store: Store, db: str, name: str, rows: DataFrame) -> tuple[list[str], list[str]]:
+    """The table's segments that hold some of the rows (with their identity), and the others."""
+    segments = store.database(db)["tables"][name]["segments"]
+    if len(segments) < 2:
+        return segments, []
+    found = rows.select(F.regexp_extract(FILE, r"/([0-9a-f]{32})/[^/]*$", 1).alias("s")).distinct()
+    held = {r["s"] for r in found.collect()}  # segments' names at most
+    return [s for s in segments if s.rsplit("/", 1)[-1] in held], [s for s in segments if s.rsplit("/", 1)[-1] not in held]
+
+
 def _columns(table: dict) -> list[str]:
     return [c["name"] for c in table["columns"]]
 
 
-def _replace(store: Store, db: str, name: str, df: DataFrame, also: list[str] | None = None) -> None:
-    """The rows of df become the table; columns in also are written beside the table's own and not read as such."""
+def _replace(store: Store, db: str, name: str, df: DataFrame, also: list[str] | None = None, others: list[str] | None = None) -> None:
+    """The rows of df become the table (with those of other segments); columns in also are written beside the table's own and not read as such."""
     table = store.database(db)["tables"][name]
     segment = store.write(df.select(*_columns(table), *(also or [])), db, name)
-    table["segments"] = [segment]
+    table["segments"] = [*(others or []), segment]
     table["rows"] = store.frame(db, name).count()
     store.touch(db, name)
 
@@ -52,9 +64,9 @@ def carried(store: Store, db: str, name: str, columns: list[str]) -> DataFrame:
     """Identity and __s_<column> of the rows that delete_rows has carried changes for."""
     table = store.database(db)["tables"][name]
     kinds = {c["name"].lower(): c["spark"] for c in table["columns"]}
-    schema = "__hit boolean, " + ", ".join(f"`__s_{c}` {kinds[c.lower()]}" for c in columns)
+    schema = "__carried boolean, " + ", ".join(f"`__s_{c}` {kinds[c.lower()]}" for c in columns)
     rows = store.spark.read.schema(schema).parquet(*[f"{store.root}/{s}" for s in table["segments"]])
-    return rows.where("__hit").select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW), *[f"__s_{c}" for c in columns])
+    return rows.where("__carried").select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW), *[f"__s_{c}" for c in columns])
 
 
 def dense_ids(df: DataFrame, start: int, column: str) -> DataFrame:
@@ -287,13 +299,16 @@ def update_where(store: Store, db: str, name: str, condition: str | None, sets:
         rows = with_identity(store, db, name)
         hit = rows.where(condition) if condition else rows
         return update_rows(store, db, name, hit.select(FILE, ROW, *[F.expr(e).alias(f"__s_{c}") for c, e in sets]), [c for c, _ in sets])
-    df = store.frame(db, name)
+    touched, others = _holding(store, db, name, with_identity(store, db, name).where(condition)) if condition else (table["segments"], [])
+    if not touched:
+        return 0
+    df = store.frame(db, name, touched)
     hit = F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True)
     kinds = {c["name"].lower(): c["spark"] for c in table["columns"]}
     _known(table, [c for c, _ in sets], name)
     new = {c.lower(): F.expr(e).cast(kinds[c.lower()]) for c, e in sets}
     made = df.select(*[F.when(hit, new[c.lower()]).otherwise(F.col(c)).alias(c) if c.lower() in new else F.col(c) for c in df.columns], hit.alias("__hit"))
-    return _checked_replace(store, db, name, made, [c for c, _ in sets])
+    return _checked_replace(store, db, name, made, [c for c, _ in sets], others)
 
 
 def _known(table: dict, columns: list[str], name: str) -> None:
@@ -302,7 +317,8 @@ def _known(table: dict, columns: list[str], name: str) -> None:
             raise SqlError(f"{name} has no column {c}")
 
 
-def _checked_replace(store: Store, db: str, name: str, made: DataFrame, changed: list[str]) -> int:
+def _checked_replace(store: Store, db: str, name: str, made: DataFrame, changed: list[str], others: list[str]) -> int:
+    """The rows of made, which say whether they are changed (__hit), take the place of all segments but the others."""
     table = store.database(db)["tables"][name]
     parked = store.write(made, db, name)
     stored = store.spark.read.schema(made.schema).parquet(f"{store.root}/{parked}")
@@ -311,13 +327,14 @@ def _checked_replace(store: Store, db: str, name: str, made: DataFrame, changed:
     if count:
         check_rows(hit, table, name)
         low = {c.lower() for c in changed}
+        whole = stored.select(*_columns(table)).unionByName(store.frame(db, name, others)) if others else stored
         if any(low & {c.lower() for c in key} for _, key in keys_of(table)):
-            check_unique(stored, table, name)
+            check_unique(whole, table, name)
         for fk in table["foreign_keys"]:
             if fk["column"].lower() in low:
                 pdb, parent = resolve_table(store, db, fk["ref_table"])
-                check_parents(hit, fk, stored if (pdb, parent) == (db, name) else store.frame(pdb, parent), name)
-        table["segments"] = [parked]  # the marker column is simply not read
+                check_parents(hit, fk, whole if (pdb, parent) == (db, name) else store.frame(pdb, parent), name)
+        table["segments"] = [*others, parked]  # the marker column is simply not read
         store.touch(db, name)
     else:
         store.files.delete(parked)
@@ -334,7 +351,10 @@ def update_rows(store: Store, db: str, name: str, changes: DataFrame, columns: l
     table = store.database(db)["tables"][name]
     _known(table, columns, name)
     kinds = {c["name"].lower(): c["spark"] for c in table["columns"]}
-    rows = with_identity(store, db, name)
+    touched, others = _holding(store, db, name, changes)
+    if not touched:
+        return 0
+    rows = with_identity(store, db, name, touched)
     changes = changes.dropDuplicates([FILE, ROW]).withColumn("__hit", F.lit(True))
     joined = rows.join(changes, [FILE, ROW], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     new = {c.lower(): F.col(f"__s_{c}").cast(kinds[c.lower()]) for c in columns}
@@ -346,7 +366,7 @@ def update_rows(store: Store, db: str, name: str, changes: DataFrame, columns: l
             seg = store.write(pairs, db, name)
             moved.append((cdb, child, fk, store.spark.read.schema(pairs.schema).parquet(f"{store.root}/{seg}")))
     made = joined.select(*[F.when(F.col("__hit"), new[c.lower()]).otherwise(F.col(c)).alias(c) if c.lower() in new else F.col(c) for c in _columns(table)], "__hit")
-    count = _checked_replace(store, db, name, made, columns)
+    count = _checked_replace(store, db, name, made, columns, others)
     for cdb, child, fk, pairs in moved:
         rows = with_identity(store, cdb, child)
         hit = rows.join(pairs, F.col(fk["column"]) == F.col("__old"))
@@ -374,12 +394,14 @@ def delete_where(store: Store, db: str, name: str, condition: str | None) -> int
         return delete_rows(store, db, name, rows.where(condition).select(FILE, ROW) if condition else rows.select(FILE, ROW))
     table = store.database(db)["tables"][name]
     before = table["rows"]
-    keep = store.frame(db, name)
     if condition is None:
         table["segments"], table["rows"] = [], 0
         store.touch(db, name)
         return before
-    _replace(store, db, name, keep.where(f"NOT coalesce(({condition}), false)"))
+    touched, others = _holding(store, db, name, with_identity(store, db, name).where(condition))
+    if not touched:
+        return 0
+    _replace(store, db, name, store.frame(db, name, touched).where(f"NOT coalesce(({condition}), false)"), None, others)
     return before - table["rows"]
 
 
@@ -388,7 +410,10 @@ def delete_rows(store: Store, db: str, name: str, gone: DataFrame, carry: DataFr
 
     carry: identities and further columns, which are written beside the rows that stay, for carried().
     """
-    rows = with_identity(store, db, name)
+    touched, others = _holding(store, db, name, gone if carry is None else gone.select(FILE, ROW).union(carry.select(FILE, ROW)))
+    if not touched:
+        return 0
+    rows = with_identity(store, db, name, touched)
     table = store.database(db)["tables"][name]
     hit = rows.join(gone.select(FILE, ROW).distinct(), [FILE, ROW], "left_semi")
     pointing = children(store, db, name)
@@ -403,9 +428,9 @@ def delete_rows(store: Store, db: str, name: str, gone: DataFrame, carry: DataFr
     if carry is not None:
         if any((cdb, child) == (db, name) for cdb, child, _ in pointing):
             raise SqlError(f"{name} points at itself: MERGE can't delete and update its rows at once")
-        also = ["__hit", *[c for c in carry.columns if c not in (FILE, ROW)]]
-        stay = stay.join(carry.dropDuplicates([FILE, ROW]).withColumn("__hit", F.lit(True)), [FILE, ROW], "left")
-    _replace(store, db, name, stay, also)
+        also = ["__carried", *[c for c in carry.columns if c not in (FILE, ROW)]]
+        stay = stay.join(carry.dropDuplicates([FILE, ROW]).withColumn("__carried", F.lit(True)), [FILE, ROW], "left")
+    _replace(store, db, name, stay, also, others)
     count = before - table["rows"]
     if not count:
         return 0

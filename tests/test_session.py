@@ -373,3 +373,28 @@ def test_vacuum_runs_by_itself(session, monkeypatch):
     assert asked == []
     session.sql("UPDATE emp SET salary = 4")
     assert asked == [None]
+
+
+def test_changes_write_only_the_segments_they_touch(session):
+    session.run("CREATE TABLE s (id INT PRIMARY KEY, v INT); INSERT INTO s VALUES (1, 1), (2, 2); INSERT INTO s VALUES (3, 3), (4, 4); INSERT INTO s VALUES (5, 5);")
+    names = lambda: session.store.catalog["databases"]["main"]["tables"]["s"]["segments"]
+    a, b, c = names()
+    session.sql("UPDATE s SET v = 30 WHERE id = 3")
+    assert names()[:2] == [a, c] and b not in names()
+    session.sql("DELETE FROM s WHERE id = 1")
+    assert c in names() and a not in names() and len(names()) == 3
+    session.sql("UPDATE s SET v = 50 WHERE v > (SELECT AVG(v) FROM s) AND id = 3")
+    assert c in names()
+    session.sql("DELETE FROM s WHERE id IN (SELECT MAX(id) FROM s)")
+    assert c not in names()
+    before = names()
+    assert session.sql("UPDATE s SET v = 0 WHERE id = 99").first()[0] == session.sql("DELETE FROM s WHERE id = 99").first()[0] == 0
+    assert names() == before and rows(session, "SELECT id, v FROM s") == [(2, 2), (3, 50), (4, 4)]
+    with pytest.raises(Violation):
+        session.sql("UPDATE s SET id = 2 WHERE id = 3")  # the key stands in another segment
+    session.run("CREATE TABLE u (id INT, op VARCHAR(3)); INSERT INTO u VALUES (2, 'del'), (4, 'upd'), (7, 'new');")
+    session.sql("MERGE INTO s USING u ON s.id = u.id WHEN MATCHED AND u.op = 'del' THEN DELETE WHEN MATCHED THEN UPDATE SET v = 40 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (u.id, 70)")
+    assert rows(session, "SELECT id, v FROM s") == [(3, 50), (4, 40), (7, 70)]
+    session.run("INSERT INTO s VALUES (8, 8), (9, 9); UPDATE s SET v = 41 WHERE id = 4; DELETE FROM u; INSERT INTO u VALUES (8, 'del'), (9, 'upd');")
+    session.sql("MERGE INTO s USING u ON s.id = u.id WHEN MATCHED AND u.op = 'del' THEN DELETE WHEN MATCHED THEN UPDATE SET v = 90")
+    assert rows(session, "SELECT id, v FROM s") == [(3, 50), (4, 41), (7, 70), (9, 90)]
