@@ -51,7 +51,7 @@ MAGIC = b"BPK1"
 BLOCK_IDS = 1024
 SHARD_IDS = 1 << 16
 #: Entries in a process's table of encoded pieces before it starts anew, and their longest key.
-TABLE_SIZE, KEY_SIZE = 200_000, 64
+TABLE_SIZE, KEY_SIZE = 350_000, 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -189,7 +189,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces, chunks = self.pieces.__getitem__, self.chunks.__getitem__
-        return [b"".join(map(chunks, self.chunk.findall(t))) if self.odd.search(t) else b"".join(map(pieces, self.piece.findall(t.lower()))) for t in texts]
+        made = []
+        for t in texts:
+            plain = "<|" not in t if t.isascii() else not self.odd.search(t)
+            made.append(b"".join(map(pieces, self.piece.findall(t.lower()))) if plain else b"".join(map(chunks, self.chunk.findall(t))))
+        return made
 
     def _piece(self, piece: str) -> bytes:
         said = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
