@@ -120,7 +120,7 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), outputs=False)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ on the input.
    of hash) are copies. Each task folds the copies that it sees, so copies in a
    third of all rows reach the shuffle as a few rows per task.
 2. Occurrences meet in sorted streams, dealt by ranges of (anchor, context), so
-   that a frequent anchor is spread over tasks. Of equal contexts the first
+   that a frequent anchor is spread over tasks; a sample of documents gives the
+   ranges' bounds, so that each text is searched once. Of equal contexts the first
    stays and the others are removed whole. If an anchor has one context only,
    that's all.
 3. An anchor with more than MOST different contexts (a license line with other
@@ -27,7 +28,8 @@ on the input.
    are put into suffix order. The previous and the next smaller position in that
    order give, for each suffix, its longest match with an earlier place (a
    longest-previous-factor array), cut at LENGTH: where it reaches LENGTH, that
-   string has an earlier copy. Frequent anchors or not, this step decides.
+   string has an earlier copy. Frequent anchors or not, this step decides; it
+   leaves out the bytes of strings whose hash occurs once among the contexts.
 
 A document's removed spans are merged at the end, when spans join texts. Null
 and empty texts have no bytes; texts shorter than LENGTH lose nothing. Null ids
@@ -53,6 +55,10 @@ LENGTH, GRAM = 100, 32
 MOST = 2_000
 #: Rows of anchors that a task folds at a time, and contexts in one suffix array (and those of one more anchor).
 FOLD_ROWS, SORTED_CONTEXTS = 500_000, 4_000
+#: Bytes that the kernels over anchors work on at a time, so that their arrays stay in a core's cache.
+CACHED_BYTES = 1 << 16
+#: For the bounds of ranges: documents (or contexts) a range, and anchors a document.
+SAMPLE_ROWS, SAMPLE_ANCHORS = 16, 12
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _SALT)
 _OTHER = mix(np.arange(256, 512, dtype=np.uint64) * _SALT)
@@ -200,7 +206,21 @@ def earlier_copies(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, le
     if not len(text):
         return text, text
     place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    order, rank = suffix_order(data, offsets[text] + place, length)
+    # Only bytes of strings whose hash occurs again are put into order.
+    hashes = _grams(_prefix(data), length)[offsets[text] + place]
+    order = np.argsort(hashes)
+    twin = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(text), bool)
+    again[order[1:][twin]] = again[order[:-1][twin]] = True
+    text, place = text[again], place[again]
+    if not len(text):
+        return text, text
+    at = offsets[text] + place
+    covered = np.zeros(len(data) + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.subtract.at(covered, at + length, 1)
+    covered = np.cumsum(covered[:-1]) > 0
+    order, rank = suffix_order(data[covered], (np.cumsum(covered) - 1)[at], length)
     before, after = nearest_smaller((starts[text] + place)[order])
     n, ranks = len(order), rank[order]  # equal ranks: equal in their first length bytes
     hit = (before >= 0) & (ranks[np.maximum(before, 0)] == ranks) | (after < n) & (ranks[np.minimum(after, n - 1)] == ranks)
@@ -218,6 +238,7 @@ _NAMES = ["h", "c", "d", "nil", "id", "row", "a", "lead", "size"]
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 FOUND = "kind int, h long, nil int, id long, row long, a long, lead int, size int"
 _KEPT = ["h", "nil", "id", "row", "a", "lead", "size"]
+_LEAST = np.iinfo(np.int64).min
 SPAN, CONTEXT, DEEP = 0, 1, 2  # a span to remove; a context to compare; one whose anchor has too many
 EDGE, COUNT = 3, 4  # a context whose anchor may go on in the next task; how many contexts of it this task has (in a)
 
@@ -226,10 +247,42 @@ def _batch(columns: list, names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def ranges(h: np.ndarray, c: np.ndarray, low_h: np.ndarray, low_c: np.ndarray) -> np.ndarray:
+    """The range of each (h, c): how many of the bounds (low_h, low_c), which ascend, are not above it."""
+    part = np.searchsorted(low_h, h, side="right")
+    values, first, n = np.unique(low_h, return_index=True, return_counts=True)
+    for k, x, y in zip(values.tolist(), first.tolist(), (first + n).tolist(), strict=True):
+        if y > x + 1 or low_c[x] > _LEAST:
+            at = np.flatnonzero((part == y) & (h == k))
+            part[at] = x + np.searchsorted(low_c[x:y], c[at], side="right")
+    return part
+
+
+def _bounds(sample: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges 1 to n - 1 of (h, c) begin, from a sample. Any bounds give the same result; these give ranges of like size.
+
+    Copies count once, as they fold. A range begins within an anchor only if that one anchor fills a whole range.
+    """
+    got = sample.select("h", "c").toArrow().combine_chunks()
+    h, c = (x.to_numpy() for x in got.columns)
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    h, c = h[fresh], c[fresh]
+    at = np.arange(1, n) * len(h) // n if len(h) else np.zeros(0, np.int64)
+    h, c = h[at], c[at]
+    alone = np.ones(len(h), bool)
+    alone[1:] &= h[1:] != h[:-1]
+    alone[:-1] &= h[1:] != h[:-1]
+    return h, np.where(alone, _LEAST, c)
+
+
 class _Fold:
-    """Marks, in runs of a task's rows, all but the first of equal (h, c, d) as done."""
+    """Marks, in runs of a task's rows, all but the first of equal (h, c, d) as done; bounds, if given, say which range each row goes to."""
 
-    def __init__(self):
+    def __init__(self, bounds: tuple[np.ndarray, np.ndarray] | None):
+        self.bounds = bounds
         self.parts: list[list[np.ndarray]] = []
         self.raw: list[pa.Array] = []
         self.size = 0
@@ -245,16 +298,24 @@ class _Fold:
         if not self.size:
             return None
         h, c, d, nil, id_, row, a, lead, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((a, row, id_, nil, d, c, h))
+        order = np.argsort(h)
+        twin = h[order[1:]] == h[order[:-1]]
+        some = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]  # the others have no copies here
+        some = some[np.lexsort([x[some] for x in (a, row, id_, nil, d, c, h)])]
+        x, y = some[1:], some[:-1]
         again = np.zeros(len(h), bool)
-        h, c, d, nil, id_, row, a, lead, size = (x[order] for x in (h, c, d, nil, id_, row, a, lead, size))
-        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])
-        # What is known to go needs to meet nothing more: it travels under a key of its own.
-        spot = id_[again].view(np.uint64) * _SALT + a[again].view(np.uint64)
-        h[again], c[again], d[again] = mix(spot).view(np.int64), 0, 0
+        again[x] = (h[x] == h[y]) & (c[x] == c[y]) & (d[x] == d[y])
+        # What is known to go needs to meet nothing more: it travels under the anchor of any other row that
+        # stays, so that it is dealt out as they are, and a context of its own.
+        spot = mix(id_[again].view(np.uint64) * _SALT + a[again].view(np.uint64))
+        stay = np.flatnonzero(~again)
+        h[again] = h[stay[(spot % np.uint64(len(stay))).astype(np.int64)]]
+        c[again], d[again] = mix(spot + _SALT).view(np.int64), 0
         made = _batch([h, c, d, nil, id_, row, a, lead, size, again], [*_NAMES, "done"], [*_KINDS, pa.bool_()])
+        if self.bounds is not None:
+            made = made.append_column("part", pa.array(ranges(h, c, *self.bounds), pa.int32()))
         if self.raw:
-            raw = pa.concat_arrays(self.raw).take(pa.array(order))
+            raw = pa.concat_arrays(self.raw)
             made = made.append_column("bytes", pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), raw))
         self.parts, self.raw, self.size = [], [], 0
         return made
@@ -274,15 +335,22 @@ def _signed(*hashes: np.ndarray) -> list[np.ndarray]:
     return [x.view(np.int64) for x in hashes]
 
 
-def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int, bounds=None, few: int = 0) -> DataFrame:
+    """The occurrences of anchors, folded in the task; few: so many of each text only."""
+
     def run(batches):
-        fold = _Fold()
+        fold = _Fold(bounds)
         for batch in batches:
             data, offsets = utf8(batch.column(3))
             nil, ids, row = (batch.column(i).to_numpy() for i in range(3))
-            for x, y in slices(offsets):
+            for x, y in slices(offsets, CACHED_BYTES):
                 own = offsets[x : y + 1] - offsets[x]
-                text, place, h, c, d, low, high = anchors(data[offsets[x] : offsets[y]], own, length)
+                found = anchors(data[offsets[x] : offsets[y]], own, length)
+                if few:
+                    n = np.bincount(found[0], minlength=y - x)
+                    nth = np.arange(len(found[0])) - (np.cumsum(n) - n)[found[0]]
+                    found = [v[nth * few % n[found[0]] < few] for v in found]
+                text, place, h, c, d, low, high = found
                 if not len(text):
                     continue
                 at = own[text]
@@ -292,18 +360,18 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
         if (made := fold.close()) is not None:
             yield made
 
-    return rows.select("nil", "id", "row", "text").mapInArrow(run, ROW)
+    return rows.select("nil", "id", "row", "text").mapInArrow(run, ROW + ", part int" * (bounds is not None))
 
 
-def _deeper(contexts: DataFrame, gram: int, wider: int, length: int) -> DataFrame:
+def _deeper(contexts: DataFrame, gram: int, wider: int, length: int, bounds=None) -> DataFrame:
     """The pieces of contexts whose strings have one anchor of wider bytes, as occurrences with their bytes, folded in the task."""
 
     def run(batches):
-        fold = _Fold()
+        fold = _Fold(bounds)
         for batch in batches:
             data, offsets = utf8(batch.column(5))
             nil, ids, row, a, lead = (batch.column(i).to_numpy() for i in range(5))
-            for x, y in slices(offsets):
+            for x, y in slices(offsets, CACHED_BYTES):
                 part, own = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                 text, place, h, c, d, low, high = narrowed(part, own, lead[x:y], gram, wider, length)
                 raw = pa.array([part[s:e].tobytes() for s, e in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
@@ -313,7 +381,7 @@ def _deeper(contexts: DataFrame, gram: int, wider: int, length: int) -> DataFram
         if (made := fold.close()) is not None:
             yield made
 
-    return contexts.select("nil", "id", "row", "a", "lead", "bytes").mapInArrow(run, f"{ROW}, bytes binary")
+    return contexts.select("nil", "id", "row", "a", "lead", "bytes").mapInArrow(run, ROW + ", part int" * (bounds is not None) + ", bytes binary")
 
 
 def _met(occurrences: DataFrame, most: int) -> DataFrame:
@@ -393,7 +461,20 @@ def _met(occurrences: DataFrame, most: int) -> DataFrame:
             made = _batch(columns, ["kind", *_KEPT], [pa.int32(), *(_KINDS[_NAMES.index(x)] for x in _KEPT)])
             yield made.append_column("bytes", pa.nulls(len(tell), pa.binary())) if raw else made
 
-    return occurrences.repartitionByRange("h", "c").sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND + ", bytes binary" * raw)
+    if "part" in occurrences.columns:
+        dealt = occurrences.repartitionById(_partitions(occurrences), F.col("part"))
+    else:
+        dealt = occurrences.repartitionByRange("h", "c")
+    return dealt.sortWithinPartitions(*_ORDER).mapInArrow(run, FOUND + ", bytes binary" * raw)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _sampled(rows: DataFrame, n_rows: int, wanted: int, *key: str) -> DataFrame:
+    """About as many rows as wanted, chosen by a hash of their key."""
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(max(1, n_rows // wanted))) == 0)
 
 
 def _settled(met: DataFrame, most: int) -> DataFrame:
@@ -477,71 +558,79 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("h", "nil", "id", "row", "a", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (start, end) in order, those that touch or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def removed_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """nil, id, row, a, size of spans whose bytes have earlier copies; spans may overlap."""
-    sizes = widths(length)
-    met = materialize(_met(_anchor_rows(rows, length), most), "anchors")
+    sizes, n = widths(length), _partitions(rows)
+    # Spark's own ranges would find all anchors twice, once for their bounds.
+    few = _sampled(rows, rows.count(), SAMPLE_ROWS * n, "nil", "id", "row")
+    bounds = _bounds(_anchor_rows(few, length, few=SAMPLE_ANCHORS), n)
+    met = materialize(_met(_anchor_rows(rows, length, bounds), most), "anchors")
     span = ["nil", "id", "row", "a", "size"]
     found = met.where(F.col("kind") == SPAN).select(*span)
     pieces = materialize(_with_bytes(rows, _settled(met, most)), "contexts")
     contexts = pieces.where(F.col("kind") == CONTEXT)
     for gram, wider in zip(sizes, sizes[1:], strict=False):
         deep = pieces.where(F.col("kind") == DEEP)
-        if deep.isEmpty():
+        if not (many := deep.count()):
             break
         bound = most if wider < length else 1 << 62  # one string each: none is left to tell apart
-        met = materialize(_met(_deeper(deep, gram, wider, length), bound), "anchors")
+        few = _sampled(deep, many, SAMPLE_ROWS * SAMPLE_ANCHORS * n, "nil", "id", "row", "a")
+        bounds = _bounds(_deeper(few, gram, wider, length), n)
+        met = materialize(_met(_deeper(deep, gram, wider, length, bounds), bound), "anchors")
         found = found.union(met.where(F.col("kind") == SPAN).select(*span))
         pieces = _settled(met, bound).select(*PIECE)
         contexts = contexts.union(pieces.where(F.col("kind") == CONTEXT))
     return found.union(materialize(_compared(contexts, length), "compared"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST, outputs: bool = True) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and, as outputs, kept (the remaining bytes) and spans."""
     rows = _rows(docs, id_col, text_col)
     spans = removed_spans(rows, length, most).groupBy("nil", "id", "row").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
     joined = rows.join(spans, ["nil", "id", "row"], "left").select("nil", "id", "text", "spans")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += ", kept binary, spans array<struct<start:long,stop:long>>" * outputs
+
+    def made(nil, ids, data, offsets, owner, start, size):
+        """owner, start, size: of the spans, in any order."""
+        n = len(ids)
+        order = np.argsort(offsets[owner] + start)
+        owner, start = owner[order], start[order]
+        stop = start + size[order]
+        far = np.maximum.accumulate(offsets[owner] + owner + stop)  # a byte lies between documents, so no span touches the next one's
+        fresh = np.ones(len(owner) + 1, bool)
+        fresh[1:-1] = (offsets[owner] + owner + start)[1:] > far[:-1]
+        first, last = np.flatnonzero(fresh[:-1]), np.flatnonzero(fresh[1:])
+        owner, start = owner[first], start[first]
+        stop = far[last] - offsets[owner] - owner
+        edges = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edges, offsets[owner] + start, 1)
+        np.add.at(edges, offsets[owner] + stop, -1)
+        rest = data[np.cumsum(edges[:-1], dtype=np.int8) == 0].tobytes()
+        removed = np.zeros(n, np.int64)
+        np.add.at(removed, owner, stop - start)
+        n_spans = np.bincount(owner, minlength=n)
+        cuts = (offsets - np.concatenate([[0], np.cumsum(removed)])).tolist()
+        kept = [rest[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [pa.array(ids, mask=nil == 0), np.diff(offsets), removed, n_spans, [hashlib.sha256(k).hexdigest() for k in kept]]
+        names, kinds = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [*[pa.int64()] * 4, pa.string()]
+        batch = _batch(out, names, kinds)
+        if outputs:
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "stop"])
+            at = pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32())
+            batch = batch.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.ListArray.from_arrays(at, spans))
+        return batch
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            out = []
-            nil, ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            for i in range(batch.num_rows):
-                text = data[offsets[i] : offsets[i + 1]]
-                gone = merged([(s["a"], s["a"] + s["size"]) for s in lists[i].as_py() or []])
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(text[at:a])
-                    at = b
-                kept = b"".join([*(p.tobytes() for p in parts), text[at:].tobytes()])
-                out.append(
-                    (
-                        ids[i] if nil[i] else None,
-                        len(text),
-                        len(text) - len(kept),
-                        len(gone),
-                        hashlib.sha256(kept).hexdigest(),
-                        kept,
-                        [{"start": a, "stop": b} for a, b in gone],
-                    )
-                )
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), kind]
-            yield _batch(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"], kinds)
+            nil, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+            start, size = (lists.flatten().field(i).to_numpy() for i in range(2))
+            owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+            for x, y in slices(offsets):
+                p, q = ends[x], ends[y]
+                own = offsets[x : y + 1] - offsets[x]
+                yield made(nil[x:y], ids[x:y], data[offsets[x] : offsets[y]], own, owner[p:q] - x, start[p:q], size[p:q].astype(np.int64))
 
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
