@@ -173,9 +173,7 @@ def sql_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.sql("BACKUP DATABASE main INTO 'dump'")
     folder = f"{session.store.root}/backups/dump"
     again = open_session(spark, sf_dir)
-    for part in sorted(session.store.files.names("backups/dump")):
-        lines = spark.read.text(f"{folder}/{part}").collect()  # the statements of a dump are run one by one
-        again.run("\n".join(r.value for r in lines))
+    admin.restore(again, folder)
     return again.sql("SELECT c.*, r.more FROM cust c LEFT JOIN rich r ON c.id = r.id")
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparrowsql.functions.dialect import SqlError
+from sparrowsql.operators import dml
+from sparrowsql.sources.store import Files
 
 if TYPE_CHECKING:
     from sparrowsql.plans.session import Session
@@ -12,6 +21,21 @@ if TYPE_CHECKING:
 
 #: Rows of one INSERT at most.
 ROWS = 1_000
+#: Characters that a string literal can't hold where a statement is one line, or that have a meaning in it.
+ODD = {"\\": 92, "\n": 10, "\r": 13}
+_STRING = r"'[^']*(?:''[^']*)*'"
+_PIECE = rf"(?:{_STRING}|CHAR\(\d+\))"
+_PIECES = re.compile(rf"({_STRING})|CHAR\((\d+)\)")
+#: What opens a value, its text by kind, and what closes it.
+_VALUE = re.compile(
+    rf"""(?P<open>\(|,\ )
+    (?:(?P<string>{_STRING})
+    |CONCAT\((?P<pieces>{_PIECE}(?:,\ {_PIECE})*)\)
+    |CAST\('(?P<cast>\w+|-Infinity)'\ AS\ (?:DOUBLE|FLOAT)\)
+    |(?P<bare>[-+\w.]+))
+    (?P<close>\)(?:,\ |;$)|(?=,\ ))""",
+    re.X,
+)
 
 
 def create_table(name: str, table: dict) -> str:
@@ -63,16 +87,80 @@ def backup(session: Session, db: str, path: str) -> None:
     session.frame_of([("\n".join(heads),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/0-definitions")
     for i, name in enumerate(order):
         df = session.store.frame(db, name)
-        parts = [
-            F.when(F.col(f"`{f.name}`").isNull(), F.lit("NULL")).otherwise(
-                F.col(f"`{f.name}`").cast("string")
-                if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal", "boolean")
-                else F.concat(F.lit("'"), F.replace(F.col(f"`{f.name}`").cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
-            )
-            for f in df.schema
-        ]
-        row = F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
+        row = F.concat(F.lit("("), F.concat_ws(", ", *[_said(f) for f in df.schema]), F.lit(")"))
         place = F.monotonically_increasing_id()
         lines = df.select(row.alias("row"), F.floor(place / ROWS).alias("line")).groupBy("line").agg(F.array_join(F.collect_list("row"), ", ").alias("rows"))
-        head = F.lit(f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ")
-        lines.select(F.concat(head, "rows", F.lit(";")).alias("value")).write.mode("overwrite").text(f"{target}/1-rows-{i:04d}-{name}")
+        lines.select(F.concat(F.lit(_head(name, df.columns)), "rows", F.lit(";")).alias("value")).write.mode("overwrite").text(f"{target}/1-rows-{i:04d}-{name}")
+
+
+def _head(name: str, columns: list[str]) -> str:
+    return f"INSERT INTO {name} ({', '.join(columns)}) VALUES "
+
+
+def _said(f: T.StructField) -> Column:
+    """A column's values as literals of the dialect on one line."""
+    col, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+    text = col.cast("string")
+    if kind in ("float", "double"):
+        said = F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.concat(F.lit("CAST('"), text, F.lit(f"' AS {kind.upper()})"))).otherwise(text)
+    elif kind in ("byte", "short", "integer", "long", "decimal", "boolean"):
+        said = text
+    else:
+        said = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+        odd = said
+        for c, code in ODD.items():
+            odd = F.replace(odd, F.lit(c), F.lit(f"', CHAR({code}), '"))
+        said = F.when(F.translate(text, "".join(ODD), "") == text, said).otherwise(F.concat(F.lit("CONCAT("), odd, F.lit(")")))
+    return F.when(col.isNull(), F.lit("NULL")).otherwise(said)
+
+
+def restore(session: Session, path: str) -> None:
+    """Run the statements that backup wrote under path.
+
+    Definitions run one by one. A table's INSERTs are read by the executors and added as one change, so that
+    keys and foreign keys are checked once over all of its rows and the table has one segment.
+    """
+    for part in sorted(Files(session.spark, path).names("")):
+        lines = session.spark.read.text(f"{path}/{part}", wholetext=not part.startswith("1-rows-"))
+        if not part.startswith("1-rows-"):
+            session.run("\n".join(r.value for r in lines.collect()))
+        elif not lines.isEmpty():
+            with session.store.change():
+                db, name = session.table(part.split("-", 3)[3])
+                columns = [c["name"] for c in session.store.database(db)["tables"][name]["columns"]]
+                dml.insert(session.store, db, name, _read(lines, _head(name, columns), columns), columns)
+
+
+def _read(lines: DataFrame, head: str, columns: list[str]) -> DataFrame:
+    """The rows of INSERT lines, their values as texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line in batch.column(0):
+                values = _values(line.as_py(), head, len(columns))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in values], columns)
+
+    return lines.mapInArrow(run, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+
+
+def _values(line: str, head: str, width: int) -> list[list[str | None]]:
+    """The values of an INSERT's rows by column; anything that backup doesn't write is an error."""
+    out: list[list[str | None]] = [[] for _ in range(width)]
+    if not line.startswith(head):
+        raise SqlError(f"{head.strip()} expected, found {line[:80]!r}")
+    at, i = len(head), 0
+    while at < len(line):
+        m = _VALUE.match(line, at)
+        if not m or (m["open"] == "(") != (i == 0) or bool(m["close"]) != (i == width - 1):
+            raise SqlError(f"a dump's value expected at {at}, found {line[at : at + 80]!r}")
+        if m["string"] is not None:
+            value = m["string"][1:-1].replace("''", "'")
+        elif m["pieces"] is not None:
+            value = "".join(s[1:-1].replace("''", "'") if s else chr(int(code)) for s, code in _PIECES.findall(m["pieces"]))
+        else:
+            value = m["cast"] or (None if m["bare"] == "NULL" else m["bare"])
+        out[i].append(value)
+        at, i = m.end(), (i + 1) % width
+    if i or not line.endswith(";"):
+        raise SqlError(f"an INSERT ends too early: {line[-80:]!r}")
+    return out

@@ -7,10 +7,12 @@ import pyarrow.parquet as pq
 import pytest
 
 from sparrowsql.functions.dialect import SqlError
+from sparrowsql.operators import dml
 from sparrowsql.operators.constraints import Violation
-from sparrowsql.plans import admin
+from sparrowsql.plans import admin, statements
 from sparrowsql.plans import session as session_module
 from sparrowsql.plans.session import Session
+from sparrowsql.sources import dump
 from sparrowsql.sources.store import Conflict
 
 SETUP = """
@@ -206,6 +208,62 @@ def test_dump_restores(session, spark, tmp_path):
         assert rows(fresh, f"SELECT * FROM {t}") == rows(session, f"SELECT * FROM {t}")
 
 
+def test_dump_restores_a_table_as_one_change(spark, sf, monkeypatch):
+    """However many INSERTs a dump has, a table's rows are added and checked once."""
+    seen, insert = [], dml.insert
+    monkeypatch.setattr(dump, "ROWS", 10)
+    monkeypatch.setattr(dml, "insert", lambda *a, **b: seen.append(a[2]) or insert(*a, **b))
+    assert statements.sql_dump(spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count() > 100
+    assert seen == ["cust", "cust"]  # the table's own rows, and those of the dump
+
+
+def test_dump_keeps_odd_values(spark, tmp_path, monkeypatch):
+    """The same rows come back from restore and from the statements run one by one."""
+    monkeypatch.setattr(dump, "ROWS", 4)
+    texts = ["", "NULL", "'", "''", "\\", "a\\'b", "\\'", "x\ny\r\nz", "\n", "'\n'", "), (1, 'a');", "INSERT INTO t (id) VALUES (1);\n", "CHAR(10)", "', CHAR(10), '", "é\u2028漢😀\t", None]
+    numbers = [0.1, -2.5, 1e300, -1.5e-7, float("nan"), float("inf"), float("-inf"), 12345678.9, None]
+    source = [(i, v, numbers[i % len(numbers)], numbers[i % len(numbers)], i % 2 == 0, f"2024-02-{i % 28 + 1:02d}", f"2024-02-01 10:00:00.{i:06d}", f"-{i}.50") for i, v in enumerate(texts)]
+    frame = spark.createDataFrame(source, "id long, s string, d double, f double, b boolean, day string, at string, m string")
+    frame = frame.selectExpr("CASE WHEN id = 0 THEN -9223372036854775808 ELSE id END", "s", "d", "CAST(f AS FLOAT)", "b", "CAST(day AS DATE)", "CAST(at AS TIMESTAMP_NTZ)", "m")
+    s = Session(spark, f"file://{tmp_path}/wh", {"source": frame})
+    s.run("CREATE TABLE t (id BIGINT PRIMARY KEY, s TEXT, d DOUBLE, f FLOAT, b BOOLEAN, day DATE, at DATETIME, m DECIMAL(8,2)); INSERT INTO t SELECT * FROM source; CREATE TABLE nothing (a INT); BACKUP DATABASE main INTO 'dump'")
+    restored, run = Session(spark, f"file://{tmp_path}/restored"), Session(spark, f"file://{tmp_path}/run")
+    admin.restore(restored, f"{s.store.root}/backups/dump")
+    for folder in sorted((tmp_path / "wh" / "backups" / "dump").iterdir()):
+        run.run("\n".join(p.read_bytes().decode() for p in sorted(folder.glob("part-*"))))
+    kept = sorted(map(repr, s.sql("SELECT * FROM t").collect()))
+    assert len(kept) == len(texts)
+    for again in (restored, run):
+        assert sorted(map(repr, again.sql("SELECT * FROM t").collect())) == kept
+        assert rows(again, "SELECT count(*) AS n FROM nothing") == [(0,)]
+
+
+def test_dump_restores_checked(session, spark, tmp_path):
+    """Keys and foreign keys are checked, numbers go on, and a line that backup didn't write is an error."""
+    session.sql(f"BACKUP DATABASE main INTO '{tmp_path}/dump'")
+    fresh = Session(spark, f"file://{tmp_path}/again")
+    admin.restore(fresh, f"{tmp_path}/dump")
+    for t in ("dept", "emp", "proj"):
+        assert rows(fresh, f"SELECT * FROM {t}") == rows(session, f"SELECT * FROM {t}")
+    fresh.sql("INSERT INTO dept (code) VALUES ('D')")
+    assert rows(fresh, "SELECT id FROM dept WHERE code = 'D'") == [(4,)]
+    part = next(p for p in (tmp_path / "dump" / "1-rows-0001-emp").glob("part-*") if p.stat().st_size)
+    text = part.read_text()
+    part.with_name(f".{part.name}.crc").unlink()
+    for old, new in (("(4, ", "(1, "), (", 2, NULL)", ", 2, 77)")):
+        assert old in text
+        part.write_text(text.replace(old, new))
+        with pytest.raises(Violation):
+            admin.restore(Session(spark, f"file://{tmp_path}/bad-{new[1:3].strip()}"), f"{tmp_path}/dump")
+    head = "INSERT INTO t (a, b) VALUES "
+    assert dump._values(f"{head}(1, 'x'), (NULL, CONCAT('a', CHAR(10), ''));", head, 2) == [["1", None], ["x", "a\n"]]
+    for bad in ("(1, 'x')", "(1, 'x'), ", "(1);", "(1, 2, 3);", "(1, 'x", "(1, 'x'), (2, NOW());", "(1, 'x'); DROP TABLE t;", ""):
+        with pytest.raises(SqlError):
+            dump._values(head + bad, head, 2)
+    with pytest.raises(SqlError):
+        dump._values("DELETE FROM t;", head, 2)
+
+
 def test_csv(session, tmp_path):
     (tmp_path / "in.csv").write_text('id,name,salary\n7,"a, ""b""",5\n8,c,x\n')
     assert admin.import_csv(session, f"file://{tmp_path}/in.csv", "emp") == (1, 1)
